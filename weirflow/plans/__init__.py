@@ -1,0 +1 @@
+"""Stream definitions: parsing, analysis and plans."""
