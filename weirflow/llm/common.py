@@ -111,8 +111,9 @@ def drop_written(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def add_missing(df: DataFrame, **kinds: str) -> DataFrame:
-    for name, kind in kinds.items():
-        if name not in df.columns:
-            df = df.withColumn(name, F.lit(None).cast(kind))
-    return df
+def sent_if_small(df: DataFrame, limit: int = 500_000) -> DataFrame:
+    """A table of ids, as the side of a join: sent to all executors if it has at most ``limit`` rows, else exchanged.
+
+    ``df`` must be cheap to count, as what ``written`` returns.
+    """
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import _col, arrow_map, slices, written
+from weirflow.llm.common import _col, arrow_map, sent_if_small, slices, written
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 HINT = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -240,7 +240,7 @@ def main_text(pages: DataFrame, url: str = "url", html: str = "html", keep: list
     """Adds ``text`` and ``n_chars`` (code points) to every page, taken from the article slot of its host's template."""
     keep = pages.columns if keep is None else keep
     found = written(templates(pages, url, html).select(F.col("host").alias("__host"), F.col("root").alias("__root")), "templates")
-    side = found if found.count() > broadcast_hosts else F.broadcast(found)
+    side = sent_if_small(found, broadcast_hosts)
     named = pages.select(*[_col(pages, c) for c in dict.fromkeys([*keep, html])], host_of(_col(pages, url)).alias("__of"))
     joined = named.join(side, F.col("__of") == F.col("__host"), "left")
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import _col, written
+from weirflow.llm.common import _col, sent_if_small, written
 
 
 def _windows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -34,7 +34,8 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     later = _windows(docs, doc_id, text).join(repeated, ["h1", "h2"]).filter("first.d != d or first.at != at")
     covered = later.groupBy("d").agg(F.array_sort(F.array_distinct(F.flatten(F.transform(F.collect_set("at"), lambda i: F.sequence(i, i + 2))))).alias("covered"))
     gone = written(covered, "covered-lines").withColumnRenamed("d", "__d").withColumnRenamed("covered", "__covered")
-    rows = docs.join(gone, _col(docs, doc_id) == F.col("__d"), "left")
+    # most documents lose nothing: a list of bounded size goes to the texts, a longer one meets them by id
+    rows = docs.join(sent_if_small(gone), _col(docs, doc_id) == F.col("__d"), "left")
     lines: Column = F.split(_col(docs, text), "\n", -1)
     left = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(F.col("__covered"), s["i"]))
     out = {

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import LOWER_ASCII, _col, arrow_map, written
+from weirflow.llm.common import LOWER_ASCII, _col, arrow_map, sent_if_small, written
 from weirflow.llm.components import components
 
 SHINGLE = 5
@@ -168,7 +168,7 @@ def near_duplicates(
     dealt = members.join(sizes, "cluster").select("rep", "cluster", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("own"))
     dealt = written(dealt.select("rep", "cluster", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "own").select("rep", "cluster", "blocks", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).distinct(), "units")
     # the texts of clustered sets: a list of bounded size goes to the documents; a longer one meets them by id
-    side = dealt if dealt.count() > broadcast_rows else F.broadcast(dealt)
+    side = sent_if_small(dealt, broadcast_rows)
     # doc_id may occur in several rows: one text stands for the set
     texts = source.join(side, source["doc_id"] == side["rep"]).select("cluster", "x", "y", "blocks", "rep", "text")
     n_units = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
