@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirflow.llm import bpe, decontaminate, line_dedup, near_dedup, quality
-from weirflow.llm.common import table, written
+from weirflow.llm.common import sent_if_small, table, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +24,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five words, 0.85), the smallest doc_id stays."""
     dropped = near_dedup.near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(written(dropped, "near-duplicates"), docs["doc_id"] == F.col("__gone"), "left_anti")
+    return docs.join(sent_if_small(written(dropped, "near-duplicates")), docs["doc_id"] == F.col("__gone"), "left_anti")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
