@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from weirflow.functions.values import NULL, Kind, Val, as_blob, as_integer, as_real, as_text, blob, choose, condition, integer, null_of, of_json, real, text, truthy
+from weirflow.functions.values import NULL, Kind, Val, as_blob, as_integer, as_real, as_text, blob, choose, condition, integer, let, null_of, of_json, real, text, truthy
 
 
 def upper(x: Val) -> Val:
@@ -164,12 +164,17 @@ def _millis(x: Val, modifiers: tuple[str, ...]) -> tuple[Column, bool]:
     else:
         of_number = F.floor((number - 2440587.5) * 86400000.0 + 0.5)
     part = lambda k: F.regexp_extract(s, _ISO, k)
-    day = F.call_function("unix_date", part(1).try_cast("date")).cast("bigint")
-    clock = F.when(part(2) == "", 0).otherwise(F.substring(part(2), 1, 2).try_cast("int") * 3600 + F.substring(part(2), 4, 2).try_cast("int") * 60) + F.coalesce(part(3).try_cast("int"), F.lit(0))
-    zone = part(5)
-    shift = F.when(zone.isin("", "Z"), 0).otherwise((F.substring(zone, 2, 2).try_cast("int") * 3600 + F.substring(zone, 5, 2).try_cast("int") * 60) * F.when(zone.startswith("-"), -1).otherwise(1))
-    fraction = F.coalesce(F.substring(F.rpad(F.regexp_replace(part(4), r"^\.", ""), 3, "0"), 1, 3).try_cast("bigint"), F.lit(0).cast("bigint"))
-    of_text = F.when(s.rlike(_ISO), (day * 86400 + clock - shift) * 1000 + fraction)
+
+    def clock(t: Column) -> Column:
+        return F.when(t == "", 0).otherwise(F.substring(t, 1, 2).try_cast("int") * 3600 + F.substring(t, 4, 2).try_cast("int") * 60)
+
+    def shift(z: Column) -> Column:
+        return F.when(z.isin("", "Z"), 0).otherwise((F.substring(z, 2, 2).try_cast("int") * 3600 + F.substring(z, 5, 2).try_cast("int") * 60) * F.when(z.startswith("-"), -1).otherwise(1))
+
+    day = F.unix_date(part(1).try_cast("date")).cast("bigint")
+    fraction = F.coalesce(F.substring(F.rpad(F.substring(part(4), 2, 3), 3, "0"), 1, 3).try_cast("bigint"), F.lit(0).cast("bigint"))
+    seconds = day * 86400 + let(part(2), clock) + F.coalesce(part(3).try_cast("int"), F.lit(0)) - let(part(5), shift)
+    of_text = F.when(s.rlike(_ISO), seconds * 1000 + fraction)
     if x.kind in (Kind.INTEGER, Kind.REAL):
         return of_number.cast("bigint"), subsec
     return F.when(numeric, of_number.cast("bigint")).otherwise(of_text), subsec
@@ -183,23 +188,17 @@ def unixepoch(x: Val = NULL, *modifiers: str) -> Val:
 def datetime(x: Val = NULL, *modifiers: str) -> Val:
     """UTC as text; the calendar is the proleptic Gregorian one, with years before 0 signed."""
     ms, subsec = _millis(x, modifiers)
-    seconds = F.floor(ms / 1000.0).cast("bigint")
-    day = F.floor(seconds / 86400).cast("bigint")
-    rest = seconds - day * 86400
-    # civil date from days, by eras of 400 years
-    z = day + 719468
-    era = F.floor(z / 146097).cast("bigint")
-    doe = z - era * 146097
-    yoe = F.floor((doe - F.floor(doe / 1460) + F.floor(doe / 36524) - F.floor(doe / 146096)) / 365).cast("bigint")
-    doy = doe - (365 * yoe + F.floor(yoe / 4).cast("bigint") - F.floor(yoe / 100).cast("bigint"))
-    mp = F.floor((5 * doy + 2) / 153).cast("bigint")
-    d = doy - F.floor((153 * mp + 2) / 5).cast("bigint") + 1
-    m = F.when(mp < 10, mp + 3).otherwise(mp - 9)
-    y = yoe + era * 400 + F.when(m <= 2, 1).otherwise(0)
     two = lambda c: F.lpad(c.cast("string"), 2, "0")
-    year = F.concat(F.when(y < 0, "-").otherwise(""), F.lpad(F.abs(y).cast("string"), 4, "0"))
-    out = F.concat(year, F.lit("-"), two(m), F.lit("-"), two(d), F.lit(" "), two(F.floor(rest / 3600)), F.lit(":"), two(F.floor(rest / 60) % 60), F.lit(":"), two(rest % 60))
-    return text(F.concat(out, F.lit("."), F.lpad((ms - seconds * 1000).cast("string"), 3, "0")) if subsec else out)
+
+    def clock(s: Column) -> Column:
+        out = F.concat(two(F.floor(s / 3600)), F.lit(":"), two(F.floor(s / 60) % 60), F.lit(":"), two(F.floor(s) % 60))
+        return F.concat(out, F.lit("."), F.lpad((F.floor(s * 1000 + 0.5) % 1000).cast("string"), 3, "0")) if subsec else out
+
+    def at(m: Column) -> Column:
+        day = F.floor(m / 86400000.0)
+        return F.concat(F.date_from_unix_date(day.cast("int")).cast("string"), F.lit(" "), let((m - day * 86400000) / 1000.0, clock))
+
+    return text(let(ms, at))
 
 
 def _geo(name: str) -> Callable[[Val], Val]:
