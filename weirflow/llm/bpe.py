@@ -258,6 +258,12 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+@lru_cache(maxsize=4)
+def encoder_of(path: str) -> StreamEncoder:
+    """One per worker process, so that what it has learned about words serves all tasks that the process runs."""
+    return StreamEncoder(vocabulary(path))
+
+
 def default_path(name: str = "byte_bpe_50k.json") -> str:
     """Where a public vocabulary file lies on this machine; it is looked up by each worker for itself."""
     import public_tokenizers
@@ -461,12 +467,8 @@ def bpe_round_trip(docs: DataFrame, text: str = "text", path: str | None = None,
     Null and empty texts: no tokens, empty decoded text. ``path``: a vocabulary file, read by each worker; by default the
     public byte-level file. ``round_trip``: the decoded text equals the text.
     """
-    held: list[StreamEncoder] = []
-
     def code(texts: list[str | None]):
-        if not held:
-            held.append(StreamEncoder(vocabulary(path or default_path())))
-        encoder = held[0]
+        encoder = encoder_of(path or default_path())
         encoder.warm(texts)
         out: list[list] = [[] for _ in range(5)]
         for t in texts:

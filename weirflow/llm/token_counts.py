@@ -9,7 +9,7 @@ budget question is then a lookup. The tables of short pre-tokens are kept in a m
 from __future__ import annotations
 
 from array import array
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -65,8 +65,8 @@ class PrefixCounter:
         self.fits = PairMemo(vocab)
         self.own = TwoAges(lambda t: self.vocab.merge(self.vocab.bytes[t[0]]) == [t[0]])
         self.tables = TwoAges(self._table, 100_000)
-        self.totals = TwoAges(lambda t: self.tables[t][-1], 150_000)
-        self.pieces = TwoAges(lambda p: self._plain(" " + p), 150_000)
+        self.totals = TwoAges(lambda t: self.tables[t][-1], 250_000)
+        self.pieces = TwoAges(lambda p: self._plain(" " + p), 250_000)
 
     def prefix_dp(self, raw: bytes) -> array:
         """Counts at the ends of all byte prefixes of one pre-token, 0 to len(raw)."""
@@ -242,20 +242,19 @@ class PieceCounter:
         return len(self.model.encode(text or "", num_threads=1))
 
 
+@lru_cache(maxsize=4)
 def counter(path: str):
+    """One per worker process, so that what it has learned about words serves all tasks that the process runs."""
     return PieceCounter(path) if path.endswith(".model") else PrefixCounter(vocabulary(path))
 
 
 def token_counts(docs: DataFrame, text: str = "text", limit: int = 512, path: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """Adds ``n_bytes`` (UTF-8), ``n_tokens`` and ``over_limit`` (n_tokens > limit). Null and empty texts: 0, 0, false."""
-    held: list = []
-
     def count(texts: list[str | None]):
-        if not held:
-            held.append(counter(path or default_path()))
-        if hasattr(held[0], "warm"):
-            held[0].warm(texts)
-        n = [held[0].total(t) for t in texts]
+        held = counter(path or default_path())
+        if hasattr(held, "warm"):
+            held.warm(texts)
+        n = [held.total(t) for t in texts]
         return [len(t.encode("utf-8", "surrogatepass")) if t else 0 for t in texts], n, [x > limit for x in n]
 
     return arrow_map(docs, [text], count, "n_bytes long, n_tokens long, over_limit boolean", keep)
@@ -263,12 +262,9 @@ def token_counts(docs: DataFrame, text: str = "text", limit: int = 512, path: st
 
 def truncated(docs: DataFrame, budget: int, text: str = "text", path: str | None = None) -> DataFrame:
     """Adds ``cut_chars``, the length of the longest prefix within a budget of tokens, and ``cut_text``."""
-    held: list = []
-
     def cut(texts: list[str | None]):
-        if not held:
-            held.append(PrefixCounter(vocabulary(path or default_path())))
-        at = [held[0].longest_prefix(t, budget) for t in texts]
+        held = counter(path or default_path())
+        at = [held.longest_prefix(t, budget) for t in texts]
         return at, [None if t is None else t[:k] for t, k in zip(texts, at)]
 
     return arrow_map(docs, [text], cut, "cut_chars long, cut_text string")
