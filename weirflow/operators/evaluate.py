@@ -93,7 +93,13 @@ def source_rows(stream: Stream, bucket: Bucket, ev: Evaluator, tables: dict[str,
 
 def bucket_rows(plan: Plan, tables: dict[str, DataFrame]) -> DataFrame:
     """All rows of all streams by bucket: bucket, object_type, object_id, data."""
-    parts = [source_rows(s, b, e, tables, typed=False) for s in plan.streams for b in s.buckets for e in b.evaluators]
+    parts = []
+    for s in plan.streams:
+        for b in s.buckets:
+            rows = reduce(DataFrame.unionByName, [source_rows(s, b, e, tables, typed=False) for e in b.evaluators])
+            names = [e.table.name for e in b.evaluators]
+            # a row that two alternatives put into one bucket is there once
+            parts.append(rows.distinct() if len(names) > len(set(names)) else rows)
     return reduce(DataFrame.unionByName, parts)
 
 
