@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from weirflow.llm.common import LOWER_ASCII, _col, arrow_map, written
 
+ROW = "__weirflow_row"
 #: Bytes that belong to no word become spaces; A-Z become a-z; bytes from 0x80 on are word bytes.
 WORD_BYTES = bytes((b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20) for b in LOWER_ASCII)
 
@@ -147,8 +148,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
 
     if blocks == 1:
         return passed(items, docs, keep)
-    numbered = written(docs.select("*", F.monotonically_increasing_id().alias("__row")), "decontaminate-rows")
-    parts = [passed(items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k), numbered, ["__row"]) for k in range(blocks)]
+    numbered = written(docs.select("*", F.monotonically_increasing_id().alias(ROW)), "decontaminate-rows")
+    parts = [passed(items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k), numbered, [ROW]) for k in range(blocks)]
     union = parts[0]
     for p in parts[1:]:
         union = union.unionByName(p)
@@ -160,9 +161,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
             F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["a"].alias("a"), F.greatest(F.try_element_at(acc, F.lit(-1))["b"], h["b"]).alias("b")))),
         ).otherwise(F.concat(acc, F.array(h))),
     )
-    found = union.groupBy("__row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), merged.alias("hits"))
-    found = found.select("__row", "n_words", F.aggregate("hits", F.lit(0).cast("long"), lambda acc, h: acc + h["b"] - h["a"]).alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "hits")
-    return numbered.select("__row", *[_col(numbered, c) for c in keep if c not in found.columns]).join(found, "__row").drop("__row")
+    found = union.groupBy(ROW).agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), merged.alias("hits"))
+    found = found.select(ROW, "n_words", F.aggregate("hits", F.lit(0).cast("long"), lambda acc, h: acc + h["b"] - h["a"]).alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "hits")
+    return numbered.select(ROW, *[_col(numbered, c) for c in keep if c not in found.columns]).join(found, ROW).drop(ROW)
 
 
 def items_digest(items: list[str]) -> str:

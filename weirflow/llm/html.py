@@ -241,11 +241,13 @@ def main_text(pages: DataFrame, url: str = "url", html: str = "html", keep: list
     keep = pages.columns if keep is None else keep
     found = written(templates(pages, url, html).select(F.col("host").alias("__host"), F.col("root").alias("__root")), "templates")
     side = sent_if_small(found, broadcast_hosts)
-    named = pages.select(*[_col(pages, c) for c in dict.fromkeys([*keep, html])], host_of(_col(pages, url)).alias("__of"))
-    joined = named.join(side, F.col("__of") == F.col("__host"), "left")
+    # by position, so that no name of the input clashes
+    named = pages.select(*[_col(pages, c).alias(f"c{i}") for i, c in enumerate(keep)], _col(pages, html).alias("html"), host_of(_col(pages, url)).alias("of"))
+    joined = named.join(side, F.col("of") == F.col("__host"), "left")
 
     def extract(texts, roots):
         out = [article(t, r) for t, r in zip(texts, roots)]
         return out, [len(t) for t in out]
 
-    return arrow_map(joined, [html, "__root"], extract, "text string, n_chars long", keep)
+    made = arrow_map(joined, ["html", "__root"], extract, "text string, n_chars long", [f"c{i}" for i in range(len(keep))])
+    return made.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep) if c not in ("text", "n_chars")], "text", "n_chars")

@@ -35,12 +35,13 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     covered = later.groupBy("d").agg(F.array_sort(F.array_distinct(F.flatten(F.transform(F.collect_set("at"), lambda i: F.sequence(i, i + 2))))).alias("covered"))
     gone = written(covered, "covered-lines").withColumnRenamed("d", "__d").withColumnRenamed("covered", "__covered")
     # most documents lose nothing: a list of bounded size goes to the texts, a longer one meets them by id
-    rows = docs.join(sent_if_small(gone), _col(docs, doc_id) == F.col("__d"), "left")
+    rows = docs.join(sent_if_small(gone), _col(docs, doc_id) == gone["__d"], "left")
+    covered_lines = gone["__covered"]
     lines: Column = F.split(_col(docs, text), "\n", -1)
-    left = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(F.col("__covered"), s["i"]))
+    left = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(covered_lines, s["i"]))
     out = {
-        text: F.when(F.col("__covered").isNull(), _col(docs, text)).otherwise(F.array_join(F.transform(left, lambda s: s["x"]), "\n")),
+        text: F.when(covered_lines.isNull(), _col(docs, text)).otherwise(F.array_join(F.transform(left, lambda s: s["x"]), "\n")),
         "n_lines": F.when(_col(docs, text).isNull(), 0).otherwise(F.size(lines)).cast("long"),
-        "n_removed": F.coalesce(F.size("__covered"), F.lit(0)).cast("long"),
+        "n_removed": F.coalesce(F.size(covered_lines), F.lit(0)).cast("long"),
     }
     return rows.select(*[out.pop(c).alias(c) if c in out else _col(docs, c) for c in docs.columns], *[v.alias(k) for k, v in out.items()])
