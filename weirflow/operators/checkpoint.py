@@ -55,8 +55,9 @@ def data_batch(log: DataFrame, wanted: DataFrame, upto: int, limit: int = CHUNK_
     """
     ops = log.join(wanted, "bucket").filter((F.col("op_id") > F.col("after")) & (F.col("op_id") <= upto))
     each = Window.partitionBy("bucket").orderBy("op_id")
-    first = ops.withColumn("rn", F.row_number().over(each)).withColumn("in_bucket", F.count("*").over(Window.partitionBy("bucket"))).filter(F.col("rn") <= limit)
-    batch = first.orderBy("priority", "bucket", "op_id").limit(limit)
+    # the limit on the rank reaches below the exchange; counts are partial sums
+    first = ops.withColumn("rn", F.row_number().over(each)).filter(F.col("rn") <= limit)
+    batch = first.orderBy("priority", "bucket", "op_id").limit(limit).join(ops.groupBy("bucket").agg(F.count("*").alias("in_bucket")), "bucket")
     size = F.coalesce(F.octet_length("data"), F.lit(0)).cast("bigint")
     bytes_before = F.sum(size).over(each.rowsBetween(Window.unboundedPreceding, 0)) - size
     chunk = F.greatest(F.floor((F.col("rn") - 1) / chunk_ops), F.floor(bytes_before / chunk_bytes)).cast("bigint")

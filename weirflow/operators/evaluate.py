@@ -104,9 +104,10 @@ def bucket_rows(plan: Plan, tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def lookup_rows(plan: Plan, tables: dict[str, DataFrame]) -> DataFrame:
-    """Rows of the lookup indexes: index, key (JSON array of what is looked up), outputs (JSON arrays of what is given).
+    """Rows of the lookup indexes: lookup, key (JSON array of what is looked up), output (JSON array of what is given).
 
-    Key parts and outputs that are null or blobs make no row; integral reals are stored as integers.
+    Key parts and outputs that are null or blobs make no row; integral reals are stored as integers. One row per key and
+    output, so that a key that leads to very many outputs is no single value.
     """
     parts = []
     for s in plan.streams:
@@ -118,7 +119,7 @@ def lookup_rows(plan: Plan, tables: dict[str, DataFrame]) -> DataFrame:
                     for v in [*ins, *outs]:
                         frame = frame.filter(_usable(v))
                     rows = frame.select(F.lit(f"{b.prefix}|{q}|{n}").alias("lookup"), bucket_name("", ins).alias("key"), bucket_name("", outs).alias("output"))
-                    parts.append(rows.groupBy("lookup", "key").agg(F.sort_array(F.collect_set("output")).alias("outputs")))
+                    parts.append(rows.distinct())
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -110,12 +110,14 @@ def truncate_ops(current: DataFrame) -> DataFrame:
 def compact_moves(log: DataFrame, max_op: int | None = None) -> DataFrame:
     """An op that a later one for its row supersedes becomes a MOVE to the newest; op_id and checksum stay."""
     seen = F.lit(True) if max_op is None else F.col("op_id") <= max_op
-    live = seen & F.col("op").isin("PUT", "REMOVE")
-    by_row = Window.partitionBy("bucket", "__live", "object_type", "object_id", "subkey")
-    out = log.withColumn("__live", live).withColumn("__newest", F.when(F.col("__live"), F.max("op_id").over(by_row)))
-    old = F.coalesce(F.col("__newest") > F.col("op_id"), F.lit(False))
-    gone = {c: F.when(old, F.lit(None)).otherwise(F.col(c)).alias(c) for c in ("object_type", "object_id", "subkey", "data")}
-    return out.select(*[gone.get(c, F.when(old, "MOVE").otherwise(F.col("op")).alias("op") if c == "op" else F.when(old, F.col("__newest")).otherwise(F.col("target_op")).alias("target_op") if c == "target_op" else F.col(c)) for c in log.columns])
+    # ops without a row key stay out of the window: all of a bucket's would share one
+    live = F.coalesce(seen & F.col("op").isin("PUT", "REMOVE"), F.lit(False))
+    newest = F.max("op_id").over(Window.partitionBy("bucket", "object_type", "object_id", "subkey"))
+    rows = log.filter(live).withColumn("__newest", newest)
+    old = F.col("__newest") > F.col("op_id")
+    made = {c: F.when(old, F.lit(None)).otherwise(F.col(c)) for c in ("object_type", "object_id", "subkey", "data")}
+    made |= {"op": F.when(old, "MOVE").otherwise(F.col("op")), "target_op": F.when(old, F.col("__newest")).otherwise(F.col("target_op"))}
+    return rows.select(*[made.get(c, F.col(c)).alias(c) for c in log.columns]).unionByName(log.filter(~live))
 
 
 def compact_clear(moved: DataFrame, max_op: int | None = None) -> DataFrame:
@@ -138,13 +140,12 @@ def compact(log: DataFrame, max_op: int | None = None) -> DataFrame:
 
 def reduce_log(log: DataFrame) -> DataFrame:
     """A client's view: each row's last op if it is a PUT, and one CLEAR (op id 0) per bucket with the checksum of all else."""
-    cleared = Window.partitionBy("bucket")
-    since = log.withColumn("__c", F.coalesce(F.max(F.when(F.col("op") == "CLEAR", F.col("op_id"))).over(cleared), F.lit(-1))).filter(F.col("op_id") >= F.col("__c"))
-    rows = F.col("op").isin("PUT", "REMOVE")
-    by_row = Window.partitionBy("bucket", "__row", "object_type", "object_id", "subkey")
-    last = since.withColumn("__row", rows).withColumn("__last", F.max("op_id").over(by_row))
-    kept = F.col("__row") & (F.col("op") == "PUT") & (F.col("op_id") == F.col("__last"))
-    marked = last.withColumn("__kept", kept)
+    clears = log.filter("op = 'CLEAR'").groupBy("bucket").agg(F.max("op_id").alias("__c"))
+    since = log.join(clears, "bucket", "left").filter(F.col("__c").isNull() | (F.col("op_id") >= F.col("__c"))).drop("__c")
+    rows = since.filter(F.col("op").isin("PUT", "REMOVE"))
+    last = F.max("op_id").over(Window.partitionBy("bucket", "object_type", "object_id", "subkey"))
+    rows = rows.withColumn("__kept", (F.col("op") == "PUT") & (F.col("op_id") == last))
+    marked = rows.unionByName(since.filter(~F.col("op").isin("PUT", "REMOVE")).withColumn("__kept", F.lit(False)))
     residual = marked.groupBy("bucket").agg(wrap32(F.sum(F.when(F.col("__kept"), 0).otherwise(F.col("checksum")))).alias("checksum"))
     none = lambda c, k="string": F.lit(None).cast(k).alias(c)
     clear = residual.select("bucket", F.lit(0).cast("bigint").alias("op_id"), F.lit("CLEAR").alias("op"), none("object_type"), none("object_id"), none("subkey"), none("data"), "checksum", none("target_op", "bigint"))

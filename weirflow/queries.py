@@ -247,7 +247,7 @@ def q24_request_resolution(spark, sf_dir):
 def q24b_lookup_rows(spark, sf_dir):
     t = parquet_tables(spark, sf_dir, "supplier")
     near = compile_stream("near", ["SELECT s.s_suppkey AS id FROM supplier s, supplier s2 WHERE s.s_suppkey = s2.s_suppkey AND s2.s_nationkey = auth.parameter('nation')"])
-    return lookup_rows(Plan(3, [near]), t).select("lookup", "key", F.size("outputs").cast("bigint").alias("n"))
+    return lookup_rows(Plan(3, [near]), t).groupBy("lookup", "key").agg(F.count("*").alias("n"))
 
 
 # --- logs
