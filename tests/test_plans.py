@@ -98,3 +98,13 @@ def test_configuration():
     ):
         with pytest.raises(DefinitionError):
             load(bad)
+
+
+def test_a_row_that_fails_is_left_out(spark):
+    from weirflow.operators.evaluate import row_errors, source_rows
+
+    t = {"t": spark.createDataFrame([("a", "550e8400-e29b-41d4-a716-446655440000", 1), ("b", "no uuid", 1), ("c", None, 1), ("d", "bad", 0)], "id string, u string, keep int")}
+    s = compile_stream("s", ["SELECT id, hex(uuid_blob(u)) AS h FROM t WHERE keep = 1"])
+    (b,) = s.buckets
+    assert sorted(r.object_id for r in source_rows(s, b, b.evaluators[0], t).collect()) == ["a", "c"]
+    assert [(r.object_id, r.error) for r in row_errors(s, b, b.evaluators[0], t).collect()] == [("b", "Cannot parse UUID")]

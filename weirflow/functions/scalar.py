@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,6 +11,28 @@ from pyspark.sql import functions as F
 from weirflow.functions.values import NULL, Kind, Val, as_blob, as_integer, as_real, as_text, blob, choose, condition, integer, let, null_of, of_json, real, text, truthy
 
 
+_COLLECTORS: list[list[tuple[Column, str]]] = []
+
+
+@contextmanager
+def collected():
+    """Inside, what makes a value an error is collected as (condition, message), and the value is null."""
+    found: list[tuple[Column, str]] = []
+    _COLLECTORS.append(found)
+    try:
+        yield found
+    finally:
+        _COLLECTORS.pop()
+
+
+def failing(bad: Column, message: str, value: Column, kind: str) -> Column:
+    """``value``, but an error where ``bad`` holds."""
+    if _COLLECTORS:
+        _COLLECTORS[-1].append((F.coalesce(bad, F.lit(False)), message))
+        return F.when(~F.coalesce(bad, F.lit(False)), value)
+    return F.when(F.coalesce(bad, F.lit(False)), F.raise_error(F.lit(message)).cast(kind)).otherwise(value)
+
+
 def upper(x: Val) -> Val:
     return text(F.upper(as_text(x)))
 
@@ -51,7 +74,7 @@ def uuid_blob(x: Val) -> Val:
     """16 bytes; a text that is no UUID makes the row an error."""
     s = as_text(x)
     good = s.rlike("^[0-9a-fA-F]{8}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{12}$")
-    return blob(F.when(s.isNull(), null_of("binary")).when(good, F.unhex(F.replace(s, F.lit("-"), F.lit("")))).otherwise(F.raise_error(F.concat(F.lit("Cannot parse UUID: "), s)).cast("binary")))
+    return blob(failing(~good, "Cannot parse UUID", F.when(good, F.unhex(F.replace(s, F.lit("-"), F.lit("")))), "binary"))
 
 
 def typeof(x: Val) -> Val:
@@ -144,7 +167,7 @@ def json_keys(x: Val) -> Val:
     numbers = F.transform(F.array_sort(F.transform(F.filter(keys, lambda k: k.rlike("^(0|[1-9][0-9]{0,9})$")), lambda k: k.cast("bigint"))), lambda k: k.cast("string"))
     out = F.to_json(F.concat(numbers, F.filter(keys, lambda k: ~k.rlike("^(0|[1-9][0-9]{0,9})$"))))
     good = F.try_parse_json(s).isNotNull() & F.ltrim(s).startswith("{")
-    return text(F.when(s.isNull(), null_of("string")).when(good, out).otherwise(F.raise_error(F.lit("json_keys is not applicable to this value"))))
+    return text(failing(s.isNotNull() & ~good, "json_keys is not applicable to this value", F.when(good, out), "string"))
 
 
 #: date, then optionally a time with optional seconds and fraction, then optionally a full zone

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weirflow.functions.scalar import collected
 from weirflow.functions.values import Kind, Val, as_filter, as_json, as_text, json_string, key_value
 from weirflow.operators.expressions import Env, column, elements, with_env
 from weirflow.plans.model import Bucket, Each, Evaluator, Lookup, Plan, Querier, Stream
@@ -72,14 +73,40 @@ def _output(ev: Evaluator, frame: DataFrame, env: Env, legacy: bool) -> dict[str
     return {k: v for k, v in out.items() if v.kind != Kind.BLOB}
 
 
+def _evaluated(stream: Stream, bucket: Bucket, ev: Evaluator, tables: dict[str, DataFrame]):
+    """Frame, values and what fails: a row that fails in a filter, or after passing them, is an error of this evaluator."""
+    like = _env(stream)
+    frame = scan(tables, ev.table)
+    env = with_env(frame, like)
+    for e in ev.each:
+        frame = _explode(frame, e, env)
+    with collected() as in_filters:
+        filters = [as_filter(env.value(f)) for f in ev.filters]
+    with collected() as in_values:
+        keys = [env.value(k) for k in ev.keys]
+        out = _output(ev, frame, env, stream.legacy_star)
+    return frame, filters, keys, out, in_filters, in_values
+
+
+def row_errors(stream: Stream, bucket: Bucket, ev: Evaluator, tables: dict[str, DataFrame]) -> DataFrame:
+    """Rows that can't be evaluated: object_type, object_id, error. Other rows and evaluators aren't touched by them."""
+    frame, filters, keys, out, in_filters, in_values = _evaluated(stream, bucket, ev, tables)
+    passed = reduce(lambda a, b: a & b, [F.coalesce(f, F.lit(False)) for f in filters], F.lit(True))
+    message = F.coalesce(F.lit(None).cast("string"), *[F.when(c, m) for c, m in in_filters], *[F.when(passed & c, m) for c, m in in_values])
+    object_id = F.coalesce(as_text(out["id"]), F.lit("")) if "id" in out else F.lit("")
+    kind = F.lit(ev.table.output) if ev.table.output else column(f"{ev.table.alias}|$table_name")
+    return frame.select(kind.alias("object_type"), object_id.alias("object_id"), message.alias("error")).filter("error is not null")
+
+
 def source_rows(stream: Stream, bucket: Bucket, ev: Evaluator, tables: dict[str, DataFrame], typed: bool = True) -> DataFrame:
     """bucket, object_type, object_id, and either the selected columns (values of mixed type as text) or ``data`` as JSON."""
-    like = _env(stream)
-    frame, env = _frame(tables, ev, like)
-    keys = [env.value(k) for k in ev.keys]
+    frame, filters, keys, out, in_filters, in_values = _evaluated(stream, bucket, ev, tables)
+    for f in filters:
+        frame = frame.filter(f)
     for k in keys:
         frame = frame.filter(_usable(k))
-    out = _output(ev, frame, env, stream.legacy_star)
+    for bad, _ in [*in_filters, *in_values]:
+        frame = frame.filter(~bad)
     kind = F.lit(ev.table.output) if ev.table.output else column(f"{ev.table.alias}|$table_name")
     object_id = F.coalesce(as_text(out["id"]), F.lit("")) if "id" in out else F.lit("")
     head = [bucket_name(bucket.prefix, keys).alias("bucket"), kind.alias("object_type"), object_id.alias("object_id")]
