@@ -274,7 +274,7 @@ def default_path(name: str = "byte_bpe_50k.json") -> str:
 class TwoAges(dict):
     """A memo of bounded size: once it holds ``limit`` entries, they become the old ones, and older ones are dropped."""
 
-    def __init__(self, make, limit: int = 150_000):
+    def __init__(self, make, limit: int = 100_000):
         super().__init__()
         self.make, self.limit, self.old = make, limit, {}
 

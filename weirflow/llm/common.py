@@ -19,6 +19,15 @@ from pyspark.sql import types as T
 LOWER_ASCII = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Smaller Arrow batches than Spark's 10,000 rows, as texts are long; a setting of the session's own stays."""
+    if spark.conf.get(BATCH_ROWS, None) is None:
+        spark.conf.set(BATCH_ROWS, str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -34,6 +43,7 @@ def arrow_map(df: DataFrame, inputs: list[str], fn: Callable, out: str, keep: li
     ``keep``: columns passed on unchanged, all when None. Rows keep their partition; nothing is shuffled. A batch is
     worked on in slices of SLICE_ROWS rows or about SLICE_BYTES of input, which bounds what ``fn`` holds at once.
     """
+    small_batches(df.sparkSession)
     keep = df.columns if keep is None else keep
     # by position, so that clashing or odd names in the input do no harm
     picked = df.select(*[_col(df, c).alias(f"k{i}") for i, c in enumerate(keep)], *[_col(df, c).alias(f"i{j}") for j, c in enumerate(inputs)])
