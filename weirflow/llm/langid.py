@@ -12,6 +12,7 @@ Null texts and texts without a letter: ``und``, score 0, no spans. With no train
 from __future__ import annotations
 
 import math
+import uuid
 from bisect import bisect_right
 from collections import Counter, defaultdict
 from dataclasses import dataclass
@@ -22,6 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weirflow.llm.bpe import HashTable
 from weirflow.llm.common import _col, arrow_map
 
 #: First code points of script ranges, in order; a range ends where the next begins.
@@ -47,9 +49,33 @@ def script_of(word: str) -> str:
     return max(seen, key=seen.get) if seen else "Common"
 
 
-def grams(word: str) -> list[str]:
-    padded = f" {word} "
-    return [padded[i : i + 3] for i in range(len(padded) - 2)]
+def words_of(token: str) -> list[str]:
+    """The runs of letters of a lower-cased token; words with at most a mark behind them need no pattern."""
+    if token.isalpha():
+        return [token]
+    if token[:-1].isalpha() and token[-1] in ".,;:!?":
+        return [token[:-1]]
+    return LETTERS.findall(token)
+
+
+def gram_keys(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Trigrams of words with a space at either end, as numbers, and where each word's begin: as many as it has letters."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    codes = np.frombuffer(" ".join(["", *(f"{w} " for w in words)]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    # each word takes its length and two spaces; its trigrams start at all places but the last two
+    ends = np.cumsum(size + 2)
+    inside = np.ones(len(codes), bool)
+    inside[ends - 1] = inside[ends - 2] = False
+    at = np.flatnonzero(inside)
+    return (codes[at] << np.uint64(42)) | (codes[at + 1] << np.uint64(21)) | codes[at + 2], np.r_[0, np.cumsum(size)[:-1]]
+
+
+def gram_text(key: int) -> str:
+    return "".join(chr(key >> k & 0x1FFFFF) for k in (42, 21, 0))
+
+
+def gram_key(gram: str) -> int:
+    return ord(gram[0]) << 42 | ord(gram[1]) << 21 | ord(gram[2])
 
 
 @dataclass
@@ -59,16 +85,11 @@ class Model:
     floor: tuple[float, ...]
     scripts: dict[str, tuple[bool, ...]]
 
-    def score(self, word: str) -> tuple[float, ...] | None:
-        """Log-scores of a word by language; -inf for those that the script rules out; None if it rules out all."""
-        may = self.scripts.get(script_of(word))
-        if may is None:
-            return None
-        total = [0.0] * len(self.langs)
-        for g in grams(word):
-            for k, v in enumerate(self.grams.get(g, self.floor)):
-                total[k] += v
-        return tuple(v if m else -math.inf for v, m in zip(total, may))
+    def prepared(self) -> tuple[HashTable, np.ndarray]:
+        """Trigrams by number, and their log-probabilities by row; the last row is for those that aren't known."""
+        keys = np.fromiter(map(gram_key, self.grams), np.uint64, len(self.grams))
+        rows = np.array([*self.grams.values(), self.floor], np.float64).reshape(len(self.grams) + 1, len(self.langs))
+        return HashTable(keys, np.arange(len(keys))), rows
 
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", max_grams: int = 60_000, max_langs: int = 64, alpha: float = 0.5) -> Model:
@@ -79,13 +100,21 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", max_grams: in
         held = 0
 
         def flush():
-            total: Counter = Counter()
+            total: dict[tuple, int] = {}
             for name, seen in words.items():
-                for w, n in seen.items():
-                    s = script_of(w)
-                    total[name, "s", s] += n * len(w)
-                    for g in grams(w):
-                        total[name, "g", g] += n
+                each, n, scripts = [], [], Counter()
+                for token, k in seen.items():
+                    for w in words_of(token):
+                        each.append(w)
+                        n.append(k)
+                        scripts["Latin" if w.isascii() else script_of(w)] += k * len(w)
+                total |= {(name, "s", x): k for x, k in scripts.items()}
+                if each:
+                    keys, starts = gram_keys(each)
+                    size = np.diff(np.r_[starts, len(keys)])
+                    found, place = np.unique(keys, return_inverse=True)
+                    sums = np.bincount(place, weights=np.repeat(np.array(n, np.float64), size))
+                    total |= {(name, "g", gram_text(int(g))): int(v) for g, v in zip(found, sums)}
             words.clear()
             keys = list(total)
             for at in range(0, len(keys), 50_000):
@@ -96,7 +125,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", max_grams: in
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
                 for t, name in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    words[name].update(LETTERS.findall(t.lower()))
+                    words[name].update(t.lower().split())
                 held = sum(map(len, words.values()))
                 if held > 250_000:
                     yield from flush()
@@ -167,43 +196,60 @@ def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
 class Labeller:
     """Spans and languages of texts; word scores are kept up to a bounded number of words."""
 
-    LIMIT = 300_000
+    LIMIT = 200_000
 
     def __init__(self, model: Model, penalty: float):
         self.model, self.penalty = model, penalty
+        self.table, self.rows = model.prepared() if model.langs else (None, None)
         self._reset()
 
     def _reset(self) -> None:
         self.place: dict[str, int] = {}
-        self.scores = np.zeros((1024, len(self.model.langs)))
-        self.letters = np.zeros(1024, np.int64)
-        self.scored = np.zeros(1024, bool)
-
-    def _known(self, token: str) -> int:
-        k = self.place.get(token)
-        if k is None:
-            k = self.place[token] = len(self.place)
-            if k == len(self.letters):
-                self.scores, self.letters, self.scored = (np.concatenate([x, np.zeros_like(x)]) for x in (self.scores, self.letters, self.scored))
-            words = LETTERS.findall(token.lower())
-            self.letters[k] = sum(map(len, words))
-            each = [s for s in map(self.model.score, words) if s is not None]
-            if each:
-                total = np.sum(each, 0)
-                self.scored[k] = bool(np.isfinite(total).any())
-                self.scores[k] = total if self.scored[k] else 0
-        return k
+        self.scores = np.zeros((0, len(self.model.langs)))
+        self.letters = np.zeros(0, np.int64)
+        self.scored = np.zeros(0, bool)
 
-    def label(self, text: str | None) -> tuple[str, float, list[tuple[int, int, str]]]:
-        """Language, its share of the letters in labelled words, and spans (from, to, language) over the text's tokens."""
+    def study(self, tokens: set[str]) -> None:
+        """Scores tokens that aren't known yet, all side by side: sums over their trigrams, -inf where the script rules a language out."""
         if len(self.place) > self.LIMIT:
             self._reset()
+        new = [t for t in tokens if t not in self.place]
+        if not new or not self.model.langs:
+            return
+        words, of = [], []
+        for k, t in enumerate(new):
+            for w in words_of(t.lower()):
+                words.append(w)
+                of.append(k)
+        m = len(self.model.langs)
+        scores, letters, scored = np.zeros((len(new), m)), np.zeros(len(new), np.int64), np.zeros(len(new), bool)
+        if words:
+            keys, starts = gram_keys(words)
+            each = np.add.reduceat(self.rows[self.table.get(keys)], starts, axis=0)
+            may = [self.model.scripts.get("Latin" if w.isascii() else script_of(w)) for w in words]
+            known = np.array([x is not None for x in may])
+            masks = np.array([x or (True,) * m for x in may], bool)
+            each[~masks] = -np.inf
+            of = np.array(of)
+            np.add.at(letters, of, np.fromiter(map(len, words), np.int64, len(words)))
+            np.add.at(scores, of[known], each[known])
+            scored[of[known]] = True
+            scored &= np.isfinite(scores).any(1)
+            scores[~scored] = 0
+        base = len(self.place)
+        self.place.update((t, base + k) for k, t in enumerate(new))
+        self.scores, self.letters, self.scored = np.concatenate([self.scores, scores]), np.concatenate([self.letters, letters]), np.concatenate([self.scored, scored])
+
+    def label(self, text: str | None) -> tuple[str, float, list[tuple[int, int, str]]]:
+        """Language, its share of the letters in labelled words, and spans (from, to, language) over the text's tokens."""
         tokens = text.split() if text else []
-        if not tokens:
+        if not tokens or not self.model.langs:
             return "und", 0.0, []
-        at = np.fromiter(map(self._known, tokens), np.int64, len(tokens))
+        if any(t not in self.place for t in tokens):
+            self.study(set(tokens))
+        at = np.fromiter(map(self.place.__getitem__, tokens), np.int64, len(tokens))
         letters = self.letters[at]
-        if not letters.sum() or not self.model.langs:
+        if not letters.sum():
             return "und", 0.0, []
         use = np.flatnonzero(self.scored[at])
         if not len(use):
@@ -220,17 +266,32 @@ class Labeller:
 def languages(docs: DataFrame, model: Model, text: str = "text", penalty: float = 12.0, keep: list[str] | None = None) -> DataFrame:
     """Adds ``lang_pred``, ``score`` (0 to 1) and ``spans`` to every row; only the text is looked at."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    held: list[Labeller] = []
+    tag = uuid.uuid4().hex
 
     def predict(texts):
-        if not held:
-            held.append(Labeller(shared.value, penalty))
+        labeller = _labeller(tag, lambda: Labeller(shared.value, penalty))
+        tokens: set[str] = set()
+        for t in texts:
+            if t:
+                tokens.update(t.split())
+        labeller.study(tokens)
         out: list[list] = [[], [], []]
         for t in texts:
-            lang, score, spans = held[0].label(t)
+            lang, score, spans = labeller.label(t)
             out[0].append(lang)
             out[1].append(score)
             out[2].append([{"from": a, "to": b, "lang": x} for a, b, x in spans])
         return out
 
     return arrow_map(docs, [text], predict, "lang_pred string, score double, spans array<struct<`from`:int,`to`:int,lang:string>>", keep)
+
+
+_LABELLERS: dict[str, Labeller] = {}
+
+
+def _labeller(tag: str, make) -> Labeller:
+    """One per worker process and model, so that what it has learned about words serves all tasks that the process runs."""
+    if tag not in _LABELLERS:
+        _LABELLERS.clear()
+        _LABELLERS[tag] = make()
+    return _LABELLERS[tag]
