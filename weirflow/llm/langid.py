@@ -16,6 +16,7 @@ import uuid
 from bisect import bisect_right
 from collections import Counter, defaultdict
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -169,30 +170,42 @@ def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
     total = scores.sum(0)
     stay = int(total.argmax())
     if np.isfinite(total[stay]):
-        # no stretch elsewhere gains more than one switch costs: the whole path stays
+        # a stretch elsewhere costs one switch at either end of the text and two inside; if none gains that much, the path stays
         gain = np.cumsum(scores.max(1) - scores[:, stay])
         low = np.minimum.accumulate(np.r_[0.0, gain[:-1]])
-        if (gain - low).max() <= penalty:
+        if gain.max() <= penalty and gain[-1] - low.min() <= penalty and (gain - low).max() <= 2 * penalty:
             return np.full(n, stay, np.int64)
-    v = scores[0].tolist()
-    came: list[int | None] = []
-    moved: list[list[bool]] = []
-    for row in scores[1:].tolist():
-        best = max(v)
-        j = v.index(best)
-        away = best - penalty
-        moved.append([away > x for x in v])
-        came.append(j)
-        v = [(away if away > x else x) + s for x, s in zip(v, row)]
-    k = v.index(max(v))
+    last, came, moved = _steps(m)(scores.tolist(), penalty)
+    k = last.index(max(last))
     path = [k]
-    for j, move in zip(reversed(came), reversed(moved)):
-        if move[k]:
+    for j, bits in zip(reversed(came), reversed(moved)):
+        if bits >> k & 1:
             k = j
         path.append(k)
     return np.array(path[::-1], np.int64)
 
 
+@lru_cache(maxsize=16)
+def _steps(m: int):
+    """The forward pass for m labels, its loop over labels written out: last values, best labels, and who came from them (bits)."""
+    labels = range(m)
+    lines = [
+        "def steps(rows, penalty):",
+        "    came, moved = [], []",
+        f"    {', '.join(f'v{k}' for k in labels)} = rows[0]",
+        f"    for {', '.join(f's{k}' for k in labels)} in rows[1:]:",
+        "        best, j, bits = v0, 0, 0",
+        *(f"        if v{k} > best: best, j = v{k}, {k}" for k in labels[1:]),
+        "        away = best - penalty",
+    ]
+    for k in labels:
+        lines += [f"        if away > v{k}: v{k}, bits = away + s{k}, bits | {1 << k}", f"        else: v{k} += s{k}"]
+    lines += ["        came.append(j)", "        moved.append(bits)", f"    return [{', '.join(f'v{k}' for k in labels)}], came, moved"]
+    scope: dict = {}
+    exec("\n".join(lines), scope)
+    return scope["steps"]
+
+
 class Labeller:
     """Spans and languages of texts; word scores are kept up to a bounded number of words."""
 
@@ -245,9 +258,11 @@ class Labeller:
         tokens = text.split() if text else []
         if not tokens or not self.model.langs:
             return "und", 0.0, []
-        if any(t not in self.place for t in tokens):
+        try:
+            at = np.fromiter(map(self.place.__getitem__, tokens), np.int64, len(tokens))
+        except KeyError:
             self.study(set(tokens))
-        at = np.fromiter(map(self.place.__getitem__, tokens), np.int64, len(tokens))
+            at = np.fromiter(map(self.place.__getitem__, tokens), np.int64, len(tokens))
         letters = self.letters[at]
         if not letters.sum():
             return "und", 0.0, []
@@ -263,8 +278,11 @@ class Labeller:
         return self.model.langs[k], float(held[k] / held.sum()), spans
 
 
-def languages(docs: DataFrame, model: Model, text: str = "text", penalty: float = 12.0, keep: list[str] | None = None) -> DataFrame:
-    """Adds ``lang_pred``, ``score`` (0 to 1) and ``spans`` to every row; only the text is looked at."""
+def languages(docs: DataFrame, model: Model, text: str = "text", penalty: float = 40.0, keep: list[str] | None = None) -> DataFrame:
+    """Adds ``lang_pred``, ``score`` (0 to 1) and ``spans`` to every row; only the text is looked at.
+
+    ``penalty``, in nats: a switch needs the evidence of about three words, so that no lone borrowed word makes a span.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     tag = uuid.uuid4().hex
 
