@@ -15,8 +15,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated windows of three lines stay at their first place; a document of which nothing is left goes."""
-    shorter = line_dedup.line_dedup(docs).filter("n_removed = 0 or trim(text) != ''")
+    """Repeated windows of three lines, or of over 50 words, stay at their first place; a document of which nothing is left goes."""
+    shorter = line_dedup.line_dedup(docs, long_words=50).filter("n_removed = 0 or trim(text) != ''")
     count = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
     return shorter.select(*[count.alias(c) if c == "n_chars" else c for c in docs.columns])
 

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from weirflow.llm import line_dedup
 
 
 def test_near_dedup_stage_links_pairs_at_080_to_085(spark):
@@ -14,3 +15,29 @@ def test_near_dedup_stage_links_pairs_at_080_to_085(spark):
     left = {r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
     # 88/112 = 0.786 is below the rule
     assert left == {2 * k for k in range(20)} | {2 * k + 1 for k in range(20) if k % 4 == 3}
+
+
+def test_line_dedup_long_windows_against_plain(spark):
+    rng = random.Random(42)
+    pool = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(n)) for n in (51, 52, 50, 48, 30, 26, 25, 24, 3, 1)] + [""]
+    texts = ["\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 7))) for _ in range(40)] + [pool[0], "x\n" + pool[1] + "\ny", "z\n " + pool[1] + " \nq", pool[5] + "\n" + pool[6], None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in line_dedup.line_dedup(df, long_words=50).collect()}
+    first = {}
+    for k, t in enumerate(texts):
+        lines = [] if t is None else t.split("\n")
+        keys, gone = [x.strip(" ") for x in lines], set()
+        for n in (1, 2, 3):
+            for i in range(len(keys) - n + 1):
+                w = tuple(keys[i : i + n])
+                if (any(w) if n == 3 else len(" ".join(w).split()) > 50) and first.setdefault(w, (k, i)) != (k, i):
+                    gone |= set(range(i, i + n))
+        assert got[k].text == (None if t is None else "\n".join(x for i, x in enumerate(lines) if i not in gone)), t
+        assert got[k].n_removed == len(gone)
+
+
+def test_line_stage_removes_a_long_passage_on_one_line(spark):
+    passage = " ".join(f"p{k}" for k in range(52))
+    rows = [(k, f"before {k}\n{passage}\nafter {k}") for k in range(5)]
+    left = {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    assert left == {k: t if k == 0 else f"before {k}\nafter {k}" for k, t in rows}
