@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from weirflow.llm import line_dedup
+from weirflow.llm import line_dedup, quality
 
 
 def test_near_dedup_stage_links_pairs_at_080_to_085(spark):
@@ -41,3 +41,11 @@ def test_line_stage_removes_a_long_passage_on_one_line(spark):
     rows = [(k, f"before {k}\n{passage}\nafter {k}") for k in range(5)]
     left = {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
     assert left == {k: t if k == 0 else f"before {k}\nafter {k}" for k, t in rows}
+
+
+def test_quality_limits_rise_with_long_texts():
+    bands = quality.Bands()
+    # what clean German has at these lengths (README)
+    for size, ratio in ((128, 2.69), (256, 2.68), (512, 2.82), (1024, 2.91), (4096, 2.91)):
+        assert bands.inside(size << 10, ratio)
+    assert bands.limits(65536) == (1.5, 2.6) and not bands.inside(1 << 22, 3.5)

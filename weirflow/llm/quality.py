@@ -25,11 +25,11 @@ WINDOW = 8
 
 @dataclass(frozen=True)
 class Bands:
-    """Limits by length: straight lines, over the logarithm of the length in bytes, between these points."""
+    """Limits by length: straight lines, over the logarithm of the length in bytes, between these points; level beyond the last, the compressor's window."""
 
-    at: tuple[int, ...] = (64, 256, 512, 1024, 2048, 4096, 8192, 16384, 65536)
-    low: tuple[float, ...] = (0.7, 1.0, 1.1, 1.2, 1.3, 1.4, 1.45, 1.5, 1.5)
-    high: tuple[float, ...] = (1.6, 1.75, 1.92, 2.08, 2.2, 2.3, 2.4, 2.48, 2.6)
+    at: tuple[int, ...] = (64, 256, 512, 1024, 2048, 4096, 8192, 16384, 65536, 131072, 262144, 524288, 1048576, 2097152)
+    low: tuple[float, ...] = (0.7, 1.0, 1.1, 1.2, 1.3, 1.4, 1.45, 1.5, 1.5, 1.5, 1.5, 1.5, 1.5, 1.5)
+    high: tuple[float, ...] = (1.6, 1.75, 1.92, 2.08, 2.2, 2.3, 2.4, 2.48, 2.6, 2.75, 2.78, 2.88, 2.98, 3.05)
     chunk: int = 2048
     max_bad_share: float = 0.5
     level: int = 3
