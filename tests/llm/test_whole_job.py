@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from weirflow.llm import line_dedup, quality
+from weirflow.llm import licenses, line_dedup, quality
 
 
 def test_near_dedup_stage_links_pairs_at_080_to_085(spark):
@@ -49,3 +49,17 @@ def test_quality_limits_rise_with_long_texts():
     for size, ratio in ((128, 2.69), (256, 2.68), (512, 2.82), (1024, 2.91), (4096, 2.91)):
         assert bands.inside(size << 10, ratio)
     assert bands.limits(65536) == (1.5, 2.6) and not bands.inside(1 << 22, 3.5)
+
+
+def test_licenses_inside_paragraphs_and_across_blank_lines(spark):
+    some = "Words that come before it and go on for a while, as many as it takes here: "
+    bsd = licenses.TEMPLATES["BSD-2-Clause"].replace(" Redistributions of", "\n\n1. Redistributions of").replace(" Redistributions in", "\n\n2. Redistributions in")
+    texts = [
+        some + "Released under the MIT License. " + some,
+        "Copyright (c) someone\n\n" + bsd + "\n\nend",
+        "x\nReleased under the MIT License.\nLicensed under CC BY 4.0.\n" + licenses.TEMPLATES["ISC"],
+        licenses.TEMPLATES["Apache-2.0"].replace(". ", ".\n\n"),
+        some + "This license names nobody.",
+    ]
+    got = [[(x.license, x.first_line, x.last_line) for x in r.licenses] for r in licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == [[("MIT notice", 0, 1)], [("BSD-2-Clause", 2, 7)], [("MIT notice", 1, 2), ("CC-BY-4.0 short notice", 2, 3), ("ISC", 3, 4)], [("Apache-2.0", 0, got[3][0][2])], []]

@@ -1,17 +1,20 @@
 """License scans by conditional compression.
 
-Candidate blocks are lines, and runs of lines, that hold a word of licensing. Each is compressed alone and with every
-template as a raw zstandard dictionary; the reduction in size ranks the templates. The best ones are confirmed by their
-exact wording: the words of block and template are aligned, and the share of the template's wording that the block
-holds, and the words that differ, decide. What no template explains is reported as an unknown license only if asked for.
+Candidates are windows of words, laid around every word of licensing so that it stands where a template has one; lines
+and blank lines don't matter. A window that holds too few of the template's words (counted, in any order) is passed over.
+The words of the others are aligned with the template, and the share of its wording that is there, and the words that
+differ, decide. What is confirmed is compressed alone and with the template as a raw zstandard dictionary; the reduction
+in size must be large enough. Of confirmed places that overlap, the one that holds most of its template's words stays.
 
-Null and empty texts hold none. Repeated and tied matches are reported by place, then by name.
+Null and empty texts hold none. Matches are reported by place; last_line is the line after the match.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
+from bisect import bisect_right
+from collections import Counter
 from dataclasses import dataclass
 
 import zstandard
@@ -37,7 +40,6 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
 }
 TRIGGER = re.compile(r"licen[cs]|copyright|permission|redistribut|warrant", re.I)
-NEAR = 4
 WORD = re.compile(r"[\w.+-]*\w")
 
 
@@ -50,73 +52,76 @@ class Template:
     name: str
     words: list[str]
     packer: zstandard.ZstdCompressor
+    count: Counter
+    #: Where it has words of licensing.
+    marks: list[int]
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, str], level: int = 9, top: int = 3, least_reduction: float = 0.3, least_share: float = 0.85, most_new: float = 0.15):
+    def __init__(self, templates: dict[str, str], level: int = 9, least_reduction: float = 0.3, least_share: float = 0.85, most_new: float = 0.15):
         self.alone = zstandard.ZstdCompressor(level=level, write_checksum=False, write_content_size=False)
-        self.templates = [Template(n, wording(t), self._packer(t, level)) for n, t in sorted(templates.items())]
-        self.top, self.least_reduction, self.least_share, self.most_new = top, least_reduction, least_share, most_new
-        self.memo: dict[str, list] = {}
+        self.templates = [self._template(n, t, level) for n, t in sorted(templates.items())]
+        self.least_reduction, self.least_share, self.most_new = least_reduction, least_share, most_new
 
     @staticmethod
-    def _packer(text: str, level: int) -> zstandard.ZstdCompressor:
-        d = zstandard.ZstdCompressionDict(" ".join(wording(text)).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        return zstandard.ZstdCompressor(level=level, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
-
-    def blocks(self, text: str):
-        """Candidate lines, and the runs in which such lines are at most NEAR lines apart, as (from, to, text)."""
-        lines = text.split("\n")
-        at = [k for k, line in enumerate(lines) if TRIGGER.search(line)]
-        for k in at:
-            yield k, k + 1, lines[k]
-        first = 0
-        for j in range(1, len(at) + 1):
-            if j == len(at) or at[j] - at[j - 1] > NEAR or not all(lines[i].strip() for i in range(at[j - 1], at[j])):
-                a, b = max(0, at[first] - 1), min(len(lines), at[j - 1] + NEAR)
-                if b - a > 1:
-                    yield a, b, "\n".join(lines[a:b])
-                first = j
-
-    def match(self, block: str) -> list[tuple[str, float, float, int]]:
-        """(name, reduction, share of the template's words in their order, words of the block outside it), confirmed ones only."""
-        if block in self.memo:
-            return self.memo[block]
-        words = wording(block)
-        raw = " ".join(words).encode()
-        size = len(self.alone.compress(raw))
-        ranked = sorted(((1 - len(t.packer.compress(raw)) / size, t.name, t) for t in self.templates), key=lambda x: (-x[0], x[1]))[: self.top]
-        out = []
-        for reduction, name, t in ranked:
-            if reduction < self.least_reduction:
-                break
-            parts = difflib.SequenceMatcher(None, words, t.words, autojunk=False).get_matching_blocks()
-            same = sum(p.size for p in parts)
-            first, last = parts[0].a, max((p.a + p.size for p in parts if p.size), default=0)
-            share, new = same / len(t.words), (last - first) - same
-            if share >= self.least_share and new <= self.most_new * len(t.words):
-                out.append((name, reduction, share, new))
-        out.sort(key=lambda x: (-x[2], x[3], -x[1], x[0]))
-        if len(block) < 2000:
-            if len(self.memo) > 20_000:
-                self.memo.clear()
-            self.memo[block] = out[:1]
-        return out[:1]
+    def _template(name: str, text: str, level: int) -> Template:
+        words = wording(text)
+        d = zstandard.ZstdCompressionDict(" ".join(words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        packer = zstandard.ZstdCompressor(level=level, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
+        return Template(name, words, packer, Counter(words), [k for k, w in enumerate(words) if TRIGGER.search(w)] or [0])
+
+    def windows(self, words: list[str], t: Template):
+        """Windows (from, to) of words that can hold the template: the necessary number of its words is there."""
+        n, new = len(t.words), int(self.most_new * len(t.words))
+        seen = set()
+        for i in self.at:
+            for o in t.marks:
+                a, b = max(0, i - o - new), min(len(words), i - o + n + new)
+                if (a, b) not in seen:
+                    seen.add((a, b))
+                    if sum(1 for w in words[a:b] if w in t.count) >= self.least_share * n and (Counter(words[a:b]) & t.count).total() >= self.least_share * n:
+                        yield a, b
+
+    def aligned(self, words: list[str], t: Template) -> tuple[int, int, int] | None:
+        """(from, to, words in common) of the stretch that holds most of the template with few enough others, if it holds enough."""
+        parts = [p for p in difflib.SequenceMatcher(None, words, t.words, autojunk=False).get_matching_blocks() if p.size]
+        best = None
+        for j in range(len(parts)):
+            same = 0
+            for p in parts[j:]:
+                same += p.size
+                a, b = parts[j].a, p.a + p.size
+                if same >= self.least_share * len(t.words) and b - a - same <= self.most_new * len(t.words) and (best is None or (same, a - b) > (best[2], best[0] - best[1])):
+                    best = a, b, same
+        return best
 
     def scan(self, text: str | None) -> list[dict]:
-        found: dict[tuple, dict] = {}
-        for a, b, block in self.blocks(text) if text and TRIGGER.search(text) else ():
-            for name, reduction, share, new in self.match(block):
-                held = found.get((name, a))
-                row = {"license": name, "first_line": a, "last_line": b, "reduction": reduction, "share": share, "new_words": new}
-                # a line inside a longer block of the same license is told by the tighter place
-                inner = [k for k, v in found.items() if k[0] == name and v["first_line"] <= a and b <= v["last_line"]]
-                for k in inner:
-                    del found[k]
-                if held is None or held["last_line"] >= b:
-                    if not any(k[0] == name and a <= v["first_line"] and v["last_line"] <= b for k, v in found.items()):
-                        found[name, a] = row
-        return [found[k] for k in sorted(found, key=lambda k: (k[1], k[0]))]
+        if not text or not TRIGGER.search(text):
+            return []
+        found = list(WORD.finditer(text))
+        words = [m[0].lower() for m in found]
+        self.at = [k for k, w in enumerate(words) if TRIGGER.search(w)]
+        places = {}
+        for t in self.templates:
+            for a, b in self.windows(words, t):
+                hit = self.aligned(words[a:b], t)
+                if hit:
+                    first, last, same = a + hit[0], a + hit[1], hit[2]
+                    if (first, last, t.name) in places:
+                        continue
+                    raw = " ".join(words[first:last]).encode()
+                    reduction = 1 - len(t.packer.compress(raw)) / len(self.alone.compress(raw))
+                    if reduction >= self.least_reduction:
+                        places[first, last, t.name] = same, last - first - same, same / len(t.words), reduction
+        breaks = [m.start() for m in re.finditer("\n", text)] if places else []
+        taken: list[tuple[int, int]] = []
+        out = []
+        for (first, last, name), (_, new, share, reduction) in sorted(places.items(), key=lambda x: (-x[1][0], x[1][1], -x[1][2], -x[1][3], x[0])):
+            if all(last <= a or b <= first for a, b in taken):
+                taken.append((first, last))
+                lines = bisect_right(breaks, found[first].start()), bisect_right(breaks, found[last - 1].start()) + 1
+                out.append((first, {"license": name, "first_line": lines[0], "last_line": lines[1], "reduction": reduction, "share": share, "new_words": new}))
+        return [x for _, x in sorted(out, key=lambda x: x[0])]
 
 
 def license_scan(docs: DataFrame, text: str = "text", templates: dict[str, str] | None = None, keep: list[str] | None = None) -> DataFrame:
