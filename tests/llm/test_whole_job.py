@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from weirflow.llm import licenses, line_dedup, quality
+from weirflow.llm import langid, licenses, line_dedup, quality
 
 
 def test_near_dedup_stage_links_pairs_at_080_to_085(spark):
@@ -63,3 +63,15 @@ def test_licenses_inside_paragraphs_and_across_blank_lines(spark):
     ]
     got = [[(x.license, x.first_line, x.last_line) for x in r.licenses] for r in licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
     assert got == [[("MIT notice", 0, 1)], [("BSD-2-Clause", 2, 7)], [("MIT notice", 1, 2), ("CC-BY-4.0 short notice", 2, 3), ("ISC", 3, 4)], [("Apache-2.0", 0, got[3][0][2])], []]
+
+
+def test_languages_keeps_every_language_and_trigram(spark):
+    rng = random.Random(43)
+    pools = {f"l{k:02}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(6)] for k in range(70)}
+    # 70,000 trigrams of one source, each met more often than those of the others
+    many = [(900 + k, " ".join(["".join(chr(0x4E00 + rng.randrange(20_000)) for _ in range(70))] * 12), "zh") for k in range(1000)]
+    rows = [(k, " ".join(pools[x] * (2 if x != "l69" else 1)), x) for k, x in enumerate(pools)] + many
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == sorted([*pools, "zh"]) and len(model.keys) > 60_000
+    tests = spark.createDataFrame([(k, " ".join(pools[x] * 4)) for k, x in enumerate(pools)], "doc_id long, text string")
+    assert [r.lang_pred for r in langid.languages(tests, model).orderBy("doc_id").collect()] == list(pools)

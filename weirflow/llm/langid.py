@@ -1,7 +1,7 @@
 """Language of mixed-language text: script ranges narrow the candidates of each word, Viterbi over word scores labels spans.
 
 Learning counts letter trigrams (with word ends) per language over all training rows, in partial sums; the model keeps
-the ``max_grams`` most frequent trigrams and ``max_langs`` languages, which bounds what reaches the driver. A word's score
+every language and every trigram, as one entry per (trigram, language) that was counted. A word's score
 for a language is the sum of the log-probabilities of its trigrams. A language is a candidate for a word only if its
 training text was written in the word's script; a word in no known script scores nothing. Over a document's words, the
 best path with a penalty for each switch of language labels spans, and the language whose spans hold most letters wins.
@@ -20,6 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -82,18 +83,20 @@ def gram_key(gram: str) -> int:
 @dataclass
 class Model:
     langs: list[str]
-    grams: dict[str, tuple[float, ...]]
-    floor: tuple[float, ...]
+    #: Trigrams as sorted numbers; the entries of number k are at starts[k] to starts[k + 1]: a language and how much its log-probability is above the floor.
+    keys: np.ndarray
+    starts: np.ndarray
+    of: np.ndarray
+    gain: np.ndarray
+    floor: np.ndarray
     scripts: dict[str, tuple[bool, ...]]
 
-    def prepared(self) -> tuple[HashTable, np.ndarray]:
-        """Trigrams by number, and their log-probabilities by row; the last row is for those that aren't known."""
-        keys = np.fromiter(map(gram_key, self.grams), np.uint64, len(self.grams))
-        rows = np.array([*self.grams.values(), self.floor], np.float64).reshape(len(self.grams) + 1, len(self.langs))
-        return HashTable(keys, np.arange(len(keys))), rows
+    def prepared(self) -> HashTable:
+        """Trigrams by number."""
+        return HashTable(self.keys, np.arange(len(self.keys)))
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang", max_grams: int = 60_000, max_langs: int = 64, alpha: float = 0.5) -> Model:
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang", alpha: float = 0.5) -> Model:
     """Counts over all rows given; a trigram's probability is smoothed by ``alpha``."""
 
     def count(batches):
@@ -134,32 +137,27 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", max_grams: in
 
     rows = docs.select(_col(docs, text).alias("t"), _col(docs, lang).cast("string").alias("l")).filter("t is not null and l is not null").mapInArrow(count, "lang string, kind string, what string, n long")
     sums = rows.groupBy("kind", "what", "lang").agg(F.sum("n").alias("n"))
-    by_what = sums.groupBy("kind", "what").agg(F.sum("n").alias("total"), F.sort_array(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    # scripts are few; of the trigrams, the most frequent
-    kept = by_what.orderBy(F.col("kind").desc(), F.col("total").desc(), "what").limit(max_grams + len(SCRIPTS)).collect()
+    # one row per script or trigram, and language
+    kept = sums.toArrow()
+    is_script = pc.equal(kept["kind"], "s")
     letters: Counter = Counter()
-    for r in kept:
-        if r.kind == "s":
-            for x in r.by:
-                letters[x.lang] += x.n
-    langs = sorted(sorted(letters, key=lambda x: (-letters[x], x))[:max_langs])
+    by_script: dict[str, Counter] = defaultdict(Counter)
+    for r in kept.filter(is_script).to_pylist():
+        letters[r["lang"]] += r["n"]
+        by_script[r["what"]][r["lang"]] += r["n"]
+    langs = sorted(letters)
+    scripts = {x: may for x, n in sorted(by_script.items()) if x != "Common" and any(may := tuple(n[k] >= 0.01 * letters[k] for k in langs))}
+    grams = kept.filter(pc.invert(is_script))
+    names = grams["lang"].combine_chunks().dictionary_encode()
     place = {x: k for k, x in enumerate(langs)}
-    table: dict[str, list[int]] = {}
-    scripts: dict[str, tuple[bool, ...]] = {}
-    for r in kept:
-        n = [0] * len(langs)
-        for x in r.by:
-            if x.lang in place:
-                n[place[x.lang]] = x.n
-        if r.kind == "s":
-            may = tuple(v >= 0.01 * letters[x] for v, x in zip(n, langs))
-            if any(may) and r.what != "Common":
-                scripts[r.what] = may
-        else:
-            table[r.what] = n
-    size = [sum(v[k] for v in table.values()) + alpha * (len(table) + 1) for k in range(len(langs))]
-    logs = {g: tuple(math.log((v + alpha) / s) for v, s in zip(n, size)) for g, n in table.items()}
-    return Model(langs, logs, tuple(math.log(alpha / s) for s in size), scripts)
+    of = np.array([place[x] for x in names.dictionary.to_pylist()], np.int32)[names.indices.to_numpy()] if len(names) else np.zeros(0, np.int32)
+    key = np.fromiter(map(gram_key, grams["what"].to_pylist()), np.uint64, len(of))
+    n = grams["n"].to_numpy().astype(np.float64)
+    order = np.lexsort((of, key))
+    of, key, n = of[order], key[order], n[order]
+    keys, starts = np.unique(key, return_index=True)
+    size = np.bincount(of, weights=n, minlength=len(langs)) + alpha * (len(keys) + 1)
+    return Model(langs, keys, np.r_[starts, len(key)], of, np.log((n + alpha) / alpha), np.log(alpha / size), scripts)
 
 
 def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
@@ -213,7 +211,8 @@ class Labeller:
 
     def __init__(self, model: Model, penalty: float):
         self.model, self.penalty = model, penalty
-        self.table, self.rows = model.prepared() if model.langs else (None, None)
+        self.table = model.prepared() if model.langs else None
+        self.limit = self.LIMIT * 64 // max(64, len(model.langs))
         self._reset()
 
     def _reset(self) -> None:
@@ -224,7 +223,7 @@ class Labeller:
 
     def study(self, tokens: set[str]) -> None:
         """Scores tokens that aren't known yet, all side by side: sums over their trigrams, -inf where the script rules a language out."""
-        if len(self.place) > self.LIMIT:
+        if len(self.place) > self.limit:
             self._reset()
         new = [t for t in tokens if t not in self.place]
         if not new or not self.model.langs:
@@ -238,7 +237,7 @@ class Labeller:
         scores, letters, scored = np.zeros((len(new), m)), np.zeros(len(new), np.int64), np.zeros(len(new), bool)
         if words:
             keys, starts = gram_keys(words)
-            each = np.add.reduceat(self.rows[self.table.get(keys)], starts, axis=0)
+            each = self._sums(keys, np.diff(np.r_[starts, len(keys)]))
             may = [self.model.scripts.get("Latin" if w.isascii() else script_of(w)) for w in words]
             known = np.array([x is not None for x in may])
             masks = np.array([x or (True,) * m for x in may], bool)
@@ -253,6 +252,16 @@ class Labeller:
         self.place.update((t, base + k) for k, t in enumerate(new))
         self.scores, self.letters, self.scored = np.concatenate([self.scores, scores]), np.concatenate([self.letters, letters]), np.concatenate([self.scored, scored])
 
+    def _sums(self, keys: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Of words with ``size`` trigrams each, the log-probabilities by language: the floor for each trigram, and the entries' gains."""
+        model, m = self.model, len(self.model.langs)
+        row = self.table.get(keys)
+        word, row = np.repeat(np.arange(len(size)), size)[row >= 0], row[row >= 0]
+        n = model.starts[row + 1] - model.starts[row]
+        at = np.repeat(model.starts[row] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        gains = np.bincount(np.repeat(word, n) * m + model.of[at], weights=model.gain[at], minlength=len(size) * m)
+        return gains.reshape(len(size), m) + size[:, None] * model.floor
+
     def label(self, text: str | None) -> tuple[str, float, list[tuple[int, int, str]]]:
         """Language, its share of the letters in labelled words, and spans (from, to, language) over the text's tokens."""
         tokens = text.split() if text else []
