@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +38,24 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class WordHashes(dict):
+    """Hashes of words, kept up to a bounded number."""
+
+    LIMIT = 200_000
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
 def arrow_map(df: DataFrame, inputs: list[str], fn: Callable, out: str, keep: list[str] | None = None) -> DataFrame:
     """Adds the columns ``out`` (DDL) that ``fn(*input columns as lists)`` makes as a list of columns, batch by batch.
 
@@ -121,9 +140,11 @@ def drop_written(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def sent_if_small(df: DataFrame, limit: int = 500_000) -> DataFrame:
-    """A table of ids, as the side of a join: sent to all executors if it has at most ``limit`` rows, else exchanged.
+def shuffled(df: DataFrame) -> DataFrame:
+    """The smaller side of a join with texts: both sides are exchanged by the key at every size, and this one is hashed, so that texts aren't sorted."""
+    return df.hint("shuffle_hash")
 
-    ``df`` must be cheap to count, as what ``written`` returns.
-    """
+
+def sent_if_small(df: DataFrame, limit: int = 500_000) -> DataFrame:
+    """A table of ids, as the side of a join: sent to all executors if it has at most ``limit`` rows, else exchanged."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
