@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirflow.llm import bpe, decontaminate, line_dedup, near_dedup, quality
-from weirflow.llm.common import sent_if_small, table, written
+from weirflow.llm.common import shuffled, table, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +23,10 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five words, 0.8), the smallest doc_id stays; 28 collections miss a pair at 0.8 with probability 8e-6."""
-    dropped = near_dedup.near_duplicates(docs, percent=80, collections=28).filter("not kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(sent_if_small(written(dropped, "near-duplicates")), docs["doc_id"] == F.col("__gone"), "left_anti")
+    found = near_dedup.near_duplicates(docs, percent=80, collections=28)
+    gone = written(found.filter("not kept").select(F.col("doc_id").alias("__gone"), F.col("text_h1").alias("__h1"), F.col("text_h2").alias("__h2")).distinct(), "near-duplicates")
+    same = (docs["doc_id"] == gone["__gone"]) & (F.xxhash64(docs["text"]) == gone["__h1"]) & (F.xxhash64(F.lit(29), docs["text"]) == gone["__h2"])
+    return docs.join(shuffled(gone), same, "left_anti")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
