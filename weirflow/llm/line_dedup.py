@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import _col, sent_if_small, written
+from weirflow.llm.common import _col, shuffled, written
 
 
 def _windows(docs: DataFrame, doc_id: str, text: str, long_words: int | None = None) -> DataFrame:
@@ -47,8 +47,7 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", long
     later = _windows(docs, doc_id, text, long_words).join(repeated, ["h1", "h2"]).filter("first.d != d or first.at != at")
     covered = later.groupBy("d").agg(F.array_sort(F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("at", "n")), lambda w: F.sequence(w["at"], w["at"] + w["n"] - 1))))).alias("covered"))
     gone = written(covered, "covered-lines").withColumnRenamed("d", "__d").withColumnRenamed("covered", "__covered")
-    # most documents lose nothing: a list of bounded size goes to the texts, a longer one meets them by id
-    rows = docs.join(sent_if_small(gone), _col(docs, doc_id) == gone["__d"], "left")
+    rows = docs.join(shuffled(gone), _col(docs, doc_id) == gone["__d"], "left")
     covered_lines = gone["__covered"]
     lines: Column = F.split(_col(docs, text), "\n", -1)
     left = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(covered_lines, s["i"]))
