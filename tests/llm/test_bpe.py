@@ -5,8 +5,8 @@ import pytest
 pytest.importorskip("public_tokenizers")
 tokenizers = pytest.importorskip("tokenizers")
 
-from weirflow.llm.bpe import ByteToText, StreamEncoder, WordStream, default_path, stream_encode, unpacked, vocabulary
-from weirflow.llm.token_counts import PrefixCounter, counter
+from weirflow.llm.bpe import ByteToText, StreamEncoder, WordStream, bpe_round_trip, default_path, stream_encode, unpacked, vocabulary
+from weirflow.llm.token_counts import PrefixCounter, counter, token_counts, truncated
 
 V = vocabulary(default_path())
 LIBRARY = tokenizers.Tokenizer.from_file(default_path())
@@ -32,7 +32,7 @@ def test_same_ids_as_the_library():
     texts = CASES + [random_text(rng, rng.randrange(1, 60)) for _ in range(400)]
     for chunk in (40, 64, 1 << 16):
         encoder = StreamEncoder(V)
-        encoder.CHUNK = chunk
+        encoder.WINDOW = chunk
         if chunk == 64:
             encoder.warm(texts)
         for t in texts:
@@ -42,12 +42,30 @@ def test_same_ids_as_the_library():
             assert "".join([back.feed([i]) for i in want] + [back.finish()]) == LIBRARY.decode(want, skip_special_tokens=False)
 
 
+def test_long_texts_leave_a_small_window_as_stable_tokens():
+    rng = random.Random(6)
+    for window in (40, 500):
+        encoder = StreamEncoder(V)
+        encoder.WINDOW = window
+        for _ in range(12):
+            t = random_text(rng, rng.randrange(1500, 4000)).replace("<|endoftext|>", "")
+            got, most = [], 0
+            for at in range(0, len(t), 333):
+                for part in encoder.feed(t[at : at + 333]):
+                    got += unpacked(part)
+                most = max(most, len(encoder.held))
+            assert got and most <= 333 + window + V.lookahead + 2 * window
+            # what came out before the end is the beginning of the library's ids
+            want = LIBRARY.encode(t, add_special_tokens=False).ids
+            assert got == want[: len(got)] and got + unpacked(encoder.finish()) == want
+
+
 def test_words_longer_than_chunk_and_lookahead():
     rng = random.Random(2)
     for alphabet in ("ab", "abcdefghijklmnopqrstuvwxyzetaoin", "é漢x", " \n", "-=", "0123456789"):
         word = "".join(rng.choice(alphabet) for _ in range(20_000))
         encoder = StreamEncoder(V)
-        encoder.CHUNK = 1000
+        encoder.WINDOW = 1000
         want = LIBRARY.encode(word + "!x", add_special_tokens=False).ids
         assert ids_of(word + "!x", encoder) == want
         stream, raw, got = WordStream(V), word.encode(), []
@@ -92,3 +110,45 @@ def test_many_merges_at_once():
     rng = random.Random(8)
     raws = [bytes(rng.choice(b"etaoinshr \xc3\xa9") for _ in range(rng.randrange(0, 90))) for _ in range(3000)]
     assert [unpacked(x) for x in V.merge_many(raws)] == [V.merge(r) for r in raws]
+
+
+ODD = [None, "", " ", "x" * 40_000, "word " * 20_000, "é漢🙂 " * 3000, "<|endoftext|>a", "same", "same", "\x00\x7f", " " * 20_000 + "a"]
+CLASH = "doc_id long, text string, k0 string, i0 string, n_tokens string, n_bytes int, token_ids string, cut_text int"
+
+
+def odd(spark):
+    return spark.createDataFrame([(k, t, "k", None, "n", 3, "t", 4) for k, t in enumerate(ODD)], CLASH)
+
+
+def test_round_trip_of_odd_rows(spark):
+    import hashlib
+    import struct
+
+    got = {r.doc_id: r for r in bpe_round_trip(odd(spark)).collect()}
+    assert len(got) == len(ODD)
+    for k, t in enumerate(ODD):
+        ids = LIBRARY.encode(t or "", add_special_tokens=False).ids
+        r = got[k]
+        assert list(r.token_ids) == ids and r.n_tokens == len(ids) and r.round_trip and (r.k0, r.i0, r.n_bytes) == ("k", None, 3)
+        assert r.ids_sha256 == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
+    none = bpe_round_trip(odd(spark).limit(0))
+    assert none.count() == 0 and set(none.columns) == {*CLASH_NAMES, "ids_sha256", "decoded_sha256", "round_trip"}
+
+
+def test_counts_of_odd_rows(spark):
+    got = {r.doc_id: r for r in token_counts(odd(spark), limit=3).collect()}
+    for k, t in enumerate(ODD):
+        n = len(LIBRARY.encode(t or "", add_special_tokens=False).ids)
+        assert (got[k].n_tokens, got[k].n_bytes, got[k].over_limit, got[k].cut_text) == (n, len((t or "").encode()), n > 3, 4)
+    assert token_counts(odd(spark).limit(0)).count() == 0
+    short = odd(spark).filter("length(text) < 100 or text is null")
+    cut = {r.doc_id: r for r in truncated(short, 2).collect()}
+    for k, r in cut.items():
+        t = ODD[k]
+        fits = [j for j in range(len(t or "") + 1) if len(LIBRARY.encode((t or "")[:j], add_special_tokens=False).ids) <= 2]
+        assert r.cut_chars == max(fits) and r.cut_text == (None if t is None else t[: max(fits)])
+    assert truncated(odd(spark).limit(0), 2).count() == 0
+
+
+CLASH_NAMES = [x.split()[0] for x in CLASH.split(", ")]

@@ -1,11 +1,13 @@
 """Byte-level BPE: loading, exact encoding, a streaming transducer with bounded lookahead, and incremental decoding.
 
 Encoding. Merges never cross a token boundary of the result, so a text may be cut at any boundary that later text can't
-change. Between pre-tokens, a boundary before a single space that a non-space follows is final at once. Inside a
-pre-token, a merge (x, y) can only be prevented from the right by a merge of lower rank that starts with a suffix of y.
-Following these chains over the merge list gives the number of bytes to the right that can matter, the list's
-sufficient lookahead; a token that ends at least so far before the end of what was read is stable and is emitted. The
-encoder holds a chunk plus the lookahead, whatever the length of a text or of a single word.
+change. Inside a pre-token, a merge (x, y) can only be prevented from the right by a merge of lower rank that starts with
+a suffix of y. Following these chains over the merge list gives the number of bytes to the right that can matter, the
+list's sufficient lookahead. The transducer holds a window and that lookahead; whenever more than both has been read, the
+tokens that end at least the lookahead before the end are stable and leave it, and the rest is held on to. Where a single
+pre-token is longer than the window, the same goes for the tokens inside it. Every text goes through it, and what it holds
+doesn't depend on a text's length. The merges inside a window are remembered by pre-token, in memos of bounded size, which
+saves time and changes no id.
 
 Decoding. Token bytes go through an incremental UTF-8 state machine that holds at most three bytes between tokens.
 """
@@ -17,7 +19,6 @@ import codecs
 import hashlib
 import heapq
 import json
-import os
 import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -308,12 +309,14 @@ def pretokens_of(piece: str) -> list[str]:
 class WordStream:
     """One pre-token of any length, fed as bytes; tokens come out once they are stable."""
 
+    WINDOW = 4096  # bytes
+
     def __init__(self, vocab: Vocabulary):
         self.vocab, self.held = vocab, b""
 
     def feed(self, raw: bytes) -> list[int]:
         self.held += raw
-        if len(self.held) < 4096 + self.vocab.lookahead:
+        if len(self.held) <= self.WINDOW + self.vocab.lookahead:
             return []
         stable, out, at = len(self.held) - self.vocab.lookahead, [], 0
         for i in self.vocab.merge(self.held):
@@ -331,9 +334,9 @@ class WordStream:
 
 
 class StreamEncoder:
-    """Text in pieces of any size to ids, in memory that doesn't grow with the text."""
+    """The transducer: text in pieces of any size to ids. It holds ``WINDOW`` characters, the lookahead and one piece at most."""
 
-    CHUNK = 1 << 16  # characters; 32 at least, so that an open pre-token is no contraction
+    WINDOW = 1 << 13  # characters; 32 at least, so that an open pre-token is no contraction
 
     def __init__(self, vocab: Vocabulary):
         self.vocab, self.held, self.open = vocab, "", None
@@ -367,34 +370,29 @@ class StreamEncoder:
         return (self._plain(first) if first else b"") + b"".join(map(self.pieces.__getitem__, rest))
 
     def feed(self, text: str) -> Iterator[bytes]:
-        for at in range(0, len(text), self.CHUNK):
-            yield from self._feed(text[at : at + self.CHUNK])
-
-    def _feed(self, text: str) -> Iterator[bytes]:
-        self.held += text
-        if self.open:
-            yield self._continue()
+        for at in range(0, len(text), self.WINDOW):
+            self.held += text[at : at + self.WINDOW]
             if self.open:
-                return
-        cut = len(self.held)
-        while (cut := self.held.rfind(" ", 0, cut)) > 0:
-            if cut + 1 < len(self.held) and not RUNS[3].match(self.held, cut + 1):
-                yield self._closed(self.held[:cut])
-                self.held = self.held[cut:]
-                break
-        if len(self.held) > self.CHUNK:
-            yield self._drain()
+                yield self._continue()
+            if not self.open and len(self.held) > self.WINDOW + self.vocab.lookahead:
+                yield self._stable()
 
-    def _drain(self) -> bytes:
-        """No final space in a whole chunk: pre-tokens that end three characters before the end are final, too."""
+    def _stable(self) -> bytes:
+        """The tokens that end the lookahead before the end of what is held: a character has a byte at least."""
+        limit = cut = len(self.held) - self.vocab.lookahead
+        while (cut := self.held.rfind(" ", 0, cut)) > 0:
+            if not RUNS[3].match(self.held, cut + 1):
+                out, self.held = self._closed(self.held[:cut]), self.held[cut:]
+                return out
         out, at = [], 0
         for m in PRETOKEN.finditer(self.held):
-            if m.end() > len(self.held) - 3:
+            if m.end() > limit:
                 break
             out.append(self.pretokens[m[0]])
             at = m.end()
         self.held = self.held[at:]
-        if len(self.held) > self.CHUNK // 2:
+        if not at:
+            # the first pre-token is longer than the window: it isn't stable as a whole, but its own tokens are
             lead = int(self.held[0] == " " and not RUNS[3].match(self.held, 1))
             kind = next(r for r in RUNS if r.match(self.held, lead))
             self.open = (kind, WordStream(self.vocab))
@@ -464,7 +462,8 @@ class ByteToText:
 def bpe_round_trip(docs: DataFrame, text: str = "text", path: str | None = None, keep: list[str] | None = None, with_ids: bool = True) -> DataFrame:
     """Adds ``n_tokens``, ``token_ids`` (array of int; left out unless ``with_ids``), digests of ids and of decoded text, ``round_trip``.
 
-    Null and empty texts: no tokens, empty decoded text. ``path``: a vocabulary file, read by each worker; by default the
+    Null and empty texts: no tokens, empty decoded text. Repeated rows are encoded alike, columns of the names that are added are
+    replaced, no rows give no rows. ``path``: a vocabulary file, read by each worker; by default the
     public byte-level file. ``round_trip``: the decoded text equals the text.
     """
     def code(texts: list[str | None]):
@@ -491,10 +490,3 @@ def bpe_round_trip(docs: DataFrame, text: str = "text", path: str | None = None,
         return out if with_ids else out[:4]
 
     return arrow_map(docs, [text], code, "n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean" + ", token_ids array<int>" * with_ids, keep)
-
-
-def vocabulary_exists(path: str | None = None) -> bool:
-    try:
-        return os.path.exists(path or default_path())
-    except ImportError:
-        return False

@@ -249,7 +249,11 @@ def counter(path: str):
 
 
 def token_counts(docs: DataFrame, text: str = "text", limit: int = 512, path: str | None = None, keep: list[str] | None = None) -> DataFrame:
-    """Adds ``n_bytes`` (UTF-8), ``n_tokens`` and ``over_limit`` (n_tokens > limit). Null and empty texts: 0, 0, false."""
+    """Adds ``n_bytes`` (UTF-8), ``n_tokens`` and ``over_limit`` (n_tokens > limit). Null and empty texts: 0, 0, false.
+
+    Repeated rows count alike, columns of the names that are added are replaced, no rows give no rows.
+    """
+
     def count(texts: list[str | None]):
         held = counter(path or default_path())
         if hasattr(held, "warm"):
@@ -261,7 +265,8 @@ def token_counts(docs: DataFrame, text: str = "text", limit: int = 512, path: st
 
 
 def truncated(docs: DataFrame, budget: int, text: str = "text", path: str | None = None) -> DataFrame:
-    """Adds ``cut_chars``, the length of the longest prefix within a budget of tokens, and ``cut_text``."""
+    """Adds ``cut_chars``, the length of the longest prefix within a budget of tokens, and ``cut_text``. Null texts: 0 and null."""
+
     def cut(texts: list[str | None]):
         held = counter(path or default_path())
         at = [held.longest_prefix(t, budget) for t in texts]
