@@ -143,8 +143,3 @@ def drop_written(df: DataFrame) -> None:
 def shuffled(df: DataFrame) -> DataFrame:
     """The smaller side of a join with texts: both sides are exchanged by the key at every size, and this one is hashed, so that texts aren't sorted."""
     return df.hint("shuffle_hash")
-
-
-def sent_if_small(df: DataFrame, limit: int = 500_000) -> DataFrame:
-    """A table of ids, as the side of a join: sent to all executors if it has at most ``limit`` rows, else exchanged."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

@@ -2,30 +2,34 @@
 
 An item's windows are its runs of ``window`` words (an item of fewer words is one window). A window is the ordered set of
 its shingles of ``shingle`` words. Shingles are ordered by rarity in the whole corpus; for exact containment the
-necessary prefix is the rarest shingle alone, which every document that holds the window must hold. A document's
-shingles are joined with the prefixes; the place of the shingle in the window gives where the window would start, the
-lengths of window and document bound it, and the words there are compared exactly.
-
-Documents are never shuffled by word or passage, so that no common passage makes a hot task. The windows are sent to the
-executors while they number at most ``block_windows``; a larger benchmark is worked through in blocks of items of that
-size, and the places hit are united per document.
-
-Null and empty texts have no words; items without words have no windows; repeated items are reported by their own ids.
+necessary prefix is the rarest shingle alone, which every document that holds the window must hold. Where a document
+holds such a shingle, its place in the window gives where the window would start, and the lengths of window and document
+bound it; the words of the window that would start there are joined with the windows by shingle, place and hash, and the
+words themselves decide.
+
+Both sides of the join are exchanged, at every size of corpus and benchmark, and each passage of a document meets one
+window at most, so that no common passage makes a product. Ahead of the two passes over the corpus (counts of shingles,
+candidates) goes a Bloom filter of a fixed number of bits, which bounds what is sent to the executors; a benchmark that
+fills it lets more shingles through to the exchange and changes no result. Nothing is collected but its bits.
+
+Texts are known by two hashes, so that equal texts are found once. Null and empty texts have no words; items without
+words have no windows; repeated items are reported by their own ids, and an item without id hits but isn't reported. Rows
+are kept as they are, repeated ones too. No items: no hits. No rows: no rows.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections import Counter
-
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import LOWER_ASCII, _col, arrow_map, written
+from weirflow.llm.common import LOWER_ASCII, WordHashes, _col, mixed, shuffled, slices, small_batches, written
 
-ROW = "__weirflow_row"
 #: Bytes that belong to no word become spaces; A-Z become a-z; bytes from 0x80 on are word bytes.
 WORD_BYTES = bytes((b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20) for b in LOWER_ASCII)
+#: The same words as a pattern, for counts.
+WORD_PATTERN = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 
 
 def plain_words(text: str | None) -> list[bytes]:
@@ -33,138 +37,174 @@ def plain_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(WORD_BYTES).split() if text else []
 
 
-class Windows:
-    """The windows of some items, and what finds them in documents."""
-
-    def __init__(self, items: list[tuple[str, str | None]], window: int, shingle: int):
-        self.window, self.shingle = window, shingle
-        self.items: dict[tuple, set[str]] = {}
-        for item, text in items:
-            w = plain_words(text)
-            for at in range(max(1, len(w) - window + 1)) if w else ():
-                self.items.setdefault(tuple(w[at : at + window]), set()).add(item)
-        self.vocabulary = {x for w in self.items for x in w}
-        self.shingles = {s for w in self.items for _, s in self.of(w)}
-        self.sizes = sorted({len(s) for s in self.shingles})
-        self.shortest = min(map(len, self.items), default=0)
-        self.prefixes: dict[tuple, list[tuple[int, tuple]]] = {}
-
-    def of(self, window: tuple) -> list[tuple[int, tuple]]:
-        k = min(self.shingle, len(window))
-        return [(at, window[at : at + k]) for at in range(len(window) - k + 1)]
-
-    def order(self, counts: dict[tuple, int]) -> None:
-        """Each window is found by its rarest shingle; ties go to the smaller one."""
-        for w in self.items:
-            at, s = min(self.of(w), key=lambda x: (counts.get(x[1], 0), x[1], x[0]))
-            self.prefixes.setdefault(s, []).append((at, w))
-
-    def runs(self, words: list[bytes]):
-        """Stretches of words that all occur in windows, as long as the shortest window at least."""
-        known, at = self.vocabulary, -1
-        for i in [i for i, w in enumerate(words) if w in known] + [len(words) + 1]:
-            if at < 0:
-                start = at = i
-            elif i == at + 1:
-                at = i
-            else:
-                if at + 1 - start >= self.shortest:
-                    yield start, at + 1
-                start = at = i
-            if i > len(words):
-                return
-
-    def count(self, words: list[bytes], into: Counter) -> None:
-        for a, b in self.runs(words):
-            for k in self.sizes:
-                for i in range(a, b - k + 1):
-                    s = tuple(words[i : i + k])
-                    if s in self.shingles:
-                        into[s] += 1
-
-    def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-        """Merged places [from, to) inside occurrences of windows, and the items that they belong to."""
-        found, items = [], set()
-        for a, b in self.runs(words):
-            for k in self.sizes:
-                for i in range(a, b - k + 1):
-                    for at, w in self.prefixes.get(tuple(words[i : i + k]), ()):
-                        start = i - at
-                        if start >= a and start + len(w) <= b and tuple(words[start : start + len(w)]) == w:
-                            found.append((start, start + len(w)))
-                            items |= self.items[w]
-        merged: list[tuple[int, int]] = []
-        for a, b in sorted(found):
-            if merged and a <= merged[-1][1]:
-                merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
-            else:
-                merged.append((a, b))
-        return merged, items
-
-
-def _rarity(docs: DataFrame, text: str, windows: Windows) -> dict[tuple, int]:
-    """How often each shingle of the windows occurs in the whole corpus; the result is bounded by the windows."""
-    order = sorted(windows.shingles)
-    place = {s: i for i, s in enumerate(order)}
-    shared = docs.sparkSession.sparkContext.broadcast((windows, place))
+class RunHashes:
+    """64-bit hashes of all runs of some numbers of words."""
+
+    def __init__(self, longest: int):
+        rng = np.random.default_rng(20240301)
+        self.places = rng.integers(1, 1 << 63, longest, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.known = WordHashes()
+
+    def words(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
+
+    def runs(self, hashes: np.ndarray, size: int) -> np.ndarray:
+        n = len(hashes) - size + 1
+        if n <= 0:
+            return np.zeros(0, np.uint64)
+        out = np.full(n, size, np.uint64)
+        for k in range(size):
+            out += hashes[k : k + n] * self.places[k]
+        return mixed(out)
+
+
+class Bits:
+    """A Bloom filter of one hash and a fixed number of bits."""
+
+    def __init__(self, bits: int):
+        self.mask, self.held = np.uint64((1 << bits) - 1), np.zeros(max(1, (1 << bits) >> 6), np.uint64)
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        h = hashes & self.mask
+        return (self.held[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1) != 0
+
+    @classmethod
+    def of(cls, hashes: DataFrame, column: str, bits: int) -> Bits:
+        """Filled by Spark; what reaches the driver is a row for each 64 bits at most."""
+        out = cls(bits)
+        h = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
+        rows = hashes.groupBy(F.shiftright(h, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({column} & 63 as int))")).alias("word")).toArrow()
+        out.held[rows["at"].to_numpy()] = rows["word"].to_numpy().view(np.uint64)
+        return out
+
+
+def item_windows(benchmark: DataFrame, item_id: str, text: str, window: int, shingle: int) -> DataFrame:
+    """Rows (item, n, hash, words, shingles): every window of every item."""
+    schema = pa.schema([("item", pa.string()), ("n", pa.int32()), ("hash", pa.int64()), ("words", pa.binary()), ("shingles", pa.list_(pa.int64()))])
+
+    def cut(batches):
+        hashes = RunHashes(window)
+        for batch in batches:
+            for b in slices(batch, [1]):
+                for item, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    words = plain_words(t)
+                    if not words:
+                        continue
+                    h, n = hashes.words(words), min(window, len(words))
+                    k = min(shingle, n)
+                    whole, parts = hashes.runs(h, n).view(np.int64), hashes.runs(h, k).view(np.int64)
+                    for at in range(0, len(whole), 5000):
+                        starts = range(at, min(at + 5000, len(whole)))
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([item] * len(starts), pa.string()), pa.array([n] * len(starts), pa.int32()), pa.array(whole[at : at + 5000]), pa.array([b" ".join(words[i : i + n]) for i in starts], pa.binary()), pa.array([parts[i : i + n - k + 1] for i in starts], pa.list_(pa.int64()))],
+                            schema=schema,
+                        )
+
+    source = benchmark.select(_col(benchmark, item_id).cast("string").alias("item"), _col(benchmark, text).alias("text"))
+    return source.mapInArrow(cut, "item string, n int, hash long, words binary, shingles array<long>")
+
+
+def _counted(docs: DataFrame, text: str, sizes: list[int], longest: int, bits: Bits) -> DataFrame:
+    """How often each shingle that may be a window's occurs in the corpus: (shingle, times)."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def count(batches):
-        import pyarrow as pa
-
-        wins, at = shared.value
-        seen: Counter = Counter()
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                wins.count(plain_words(t), seen)
-        yield pa.RecordBatch.from_arrays([pa.array([at[s] for s in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["shingle", "n"])
-
-    rows = docs.select(_col(docs, text).alias("t")).mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).collect()
-    return {order[r.shingle]: r.n for r in rows}
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = 10, shingle: int = 5, block_windows: int = 200_000, keep: list[str] | None = None) -> DataFrame:
-    """Adds n_words, n_hit, n_items, items (sorted ids as strings), hits (merged places, words from-to) to every row of docs."""
+        hashes, bits = RunHashes(longest), shared.value
+        for batch in batches:
+            for b in slices(batch, [0]):
+                found = [np.zeros(0, np.uint64)]
+                for t in b.column(0).to_pylist():
+                    h = hashes.words(plain_words(t))
+                    for k in sizes:
+                        runs = hashes.runs(h, k)
+                        found.append(runs[bits.has(runs)])
+                each, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(each.view(np.int64)), pa.array(n)], names=["shingle", "times"])
+
+    return docs.select(_col(docs, text).alias("text")).mapInArrow(count, "shingle long, times long").groupBy("shingle").agg(F.sum("times").alias("times"))
+
+
+def _candidates(docs: DataFrame, text: str, shapes: list[tuple[int, int]], longest: int, bits: Bits) -> DataFrame:
+    """Where windows would stand whose rarest shingle a document may hold: (text_h1, text_h2, start, n, at, shingle, hash, words)."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    schema = pa.schema([("text_h1", pa.int64()), ("text_h2", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("at", pa.int32()), ("shingle", pa.int64()), ("hash", pa.int64()), ("words", pa.binary())])
+
+    def find(batches):
+        hashes, bits = RunHashes(longest), shared.value
+        for batch in batches:
+            for b in slices(batch, [2]):
+                for h1, h2, t in zip(*(b.column(i).to_pylist() for i in range(3))):
+                    words = plain_words(t)
+                    h = hashes.words(words)
+                    for n, k in shapes:
+                        runs = hashes.runs(h, k)
+                        some = np.flatnonzero(bits.has(runs))
+                        if not len(some) or len(words) < n:
+                            continue
+                        whole = hashes.runs(h, n)
+                        # every place that the shingle can have in a window, if the window fits into the document
+                        at = np.tile(np.arange(n - k + 1), len(some))
+                        place = np.repeat(some, n - k + 1)
+                        fits = (place - at >= 0) & (place - at + n <= len(words))
+                        at, place = at[fits], place[fits]
+                        for j in range(0, len(at), 5000):
+                            a, p = at[j : j + 5000], place[j : j + 5000]
+                            s = p - a
+                            rows = len(a)
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array(np.full(rows, h1, np.int64)), pa.array(np.full(rows, h2, np.int64)), pa.array(s), pa.array(np.full(rows, n, np.int32)), pa.array(a.astype(np.int32)), pa.array(runs[p].view(np.int64)), pa.array(whole[s].view(np.int64)), pa.array([b" ".join(words[i : i + n]) for i in s.tolist()], pa.binary())],
+                                schema=schema,
+                            )
+
+    source = docs.select(*_text_key(docs, text), _col(docs, text).alias("text"))
+    return source.mapInArrow(find, "text_h1 long, text_h2 long, start long, n int, at int, shingle long, hash long, words binary")
+
+
+def _text_key(docs: DataFrame, text: str) -> list:
+    return [F.xxhash64(_col(docs, text)).alias("text_h1"), F.xxhash64(F.lit(31), _col(docs, text)).alias("text_h2")]
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = 10, shingle: int = 5, keep: list[str] | None = None, item_id: str = "item_id", item_text: str = "text", filter_bits: int = 27) -> DataFrame:
+    """Adds n_words, n_hit, n_items, items (sorted ids as strings), hits (merged places, words from-to) to every row of docs.
+
+    ``filter_bits``: the Bloom filter has 2 to this power bits (16 MiB), whatever the size of the benchmark.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
     keep = docs.columns if keep is None else keep
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("words"))
-    sizes = items.agg(F.coalesce(F.sum(F.greatest(F.lit(1), F.size(F.split("words", "[^0-9A-Za-z\\x80-\\x{10FFFF}]+")))), F.lit(0))).first()[0]
-    blocks = max(1, -(-int(sizes) // block_windows))
-    schema = "n_words long, n_hit long, n_items long, items array<string>, hits array<struct<a:long,b:long>>"
-
-    def passed(block: DataFrame, source: DataFrame, names: list[str]) -> DataFrame:
-        windows = Windows([(r.item, r.words) for r in block.collect()], window, shingle)
-        windows.order(_rarity(docs, text, windows) if windows.items else {})
-        shared = docs.sparkSession.sparkContext.broadcast(windows)
-
-        def find(texts):
-            wins, out = shared.value, [[] for _ in range(5)]
-            for t in texts:
-                words = plain_words(t)
-                hits, found = wins.hits(words) if wins.items else ([], set())
-                for c, v in zip(out, (len(words), sum(b - a for a, b in hits), len(found), sorted(found), [{"a": a, "b": b} for a, b in hits])):
-                    c.append(v)
-            return out
-
-        return arrow_map(source, [text], find, schema, names)
-
-    if blocks == 1:
-        return passed(items, docs, keep)
-    numbered = written(docs.select("*", F.monotonically_increasing_id().alias(ROW)), "decontaminate-rows")
-    parts = [passed(items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k), numbered, [ROW]) for k in range(blocks)]
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    merged = F.aggregate(
-        F.sort_array(F.flatten(F.collect_list("hits"))),
-        F.expr("cast(array() as array<struct<a:bigint,b:bigint>>)"),
-        lambda acc, h: F.when(
-            (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["b"] >= h["a"]),
-            F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["a"].alias("a"), F.greatest(F.try_element_at(acc, F.lit(-1))["b"], h["b"]).alias("b")))),
-        ).otherwise(F.concat(acc, F.array(h))),
+    found = written(item_windows(benchmark, item_id, item_text, window, shingle), "benchmark-windows")
+    windows = written(found.groupBy("hash", "n", "words").agg(F.first("shingles").alias("shingles")), "windows")
+    parts = windows.select("hash", "n", "words", F.posexplode("shingles").alias("at", "shingle"))
+    # a window has 1 to ``window`` words
+    shapes = sorted((r.n, min(shingle, r.n)) for r in windows.select("n").distinct().collect())
+    counts = _counted(docs, text, sorted({k for _, k in shapes}), window, Bits.of(parts, "shingle", filter_bits))
+    rarity = parts.join(shuffled(counts), "shingle", "left").select("hash", "n", "words", F.struct(F.coalesce("times", F.lit(0)).alias("times"), "shingle", "at").alias("s"))
+    # each window is found by its rarest shingle; of equally rare ones, by the smaller hash
+    prefixes = written(rarity.groupBy("hash", "n", "words").agg(F.min("s").alias("s")).select("hash", "n", "words", "s.shingle", "s.at"), "prefixes")
+    places = _candidates(docs, text, shapes, window, Bits.of(prefixes, "shingle", filter_bits))
+    own = ["shingle", "at", "n", "hash", "words"]
+    hits = written(places.join(shuffled(prefixes), own).select("text_h1", "text_h2", "start", "n", "hash", "words").distinct(), "hits")
+
+    key = ["text_h1", "text_h2"]
+    by_place = Window.partitionBy(*key).orderBy("start", "n")
+    merged = hits.select(*key, "start", "n", (F.col("start") + F.col("n")).alias("end")).withColumn("before", F.max("end").over(by_place.rowsBetween(Window.unboundedPreceding, -1)))
+    merged = merged.withColumn("run", F.sum(F.when(F.col("start") <= F.col("before"), 0).otherwise(1)).over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = merged.groupBy(*key, "run").agg(F.min("start").alias("a"), F.max("end").alias("b")).groupBy(*key).agg(F.sum(F.col("b") - F.col("a")).alias("n_hit"), F.sort_array(F.collect_list(F.struct("a", "b"))).alias("hits"))
+    named = found.filter("item is not null").select("hash", "n", "words", "item").distinct()
+    items = hits.select(*key, "hash", "n", "words").distinct().join(named, ["hash", "n", "words"]).groupBy(*key).agg(F.sort_array(F.collect_set("item")).alias("items"))
+    side = written(merged.join(items, key, "left").select(F.col("text_h1").alias("f1"), F.col("text_h2").alias("f2"), "n_hit", "hits", "items"), "contaminated")
+
+    # by position, so that no name of the input clashes
+    added = ["n_words", "n_hit", "n_items", "items", "hits"]
+    words = F.coalesce(F.regexp_count(_col(docs, text), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
+    rows = docs.select(*[_col(docs, c).alias(f"c{i}") for i, c in enumerate(keep)], *_text_key(docs, text), words.alias("n_words"))
+    rows = rows.join(shuffled(side), (F.col("text_h1") == F.col("f1")) & (F.col("text_h2") == F.col("f2")), "left")
+    items_of = F.coalesce("items", F.array().cast("array<string>"))
+    return rows.select(
+        *[F.col(f"c{i}").alias(c) for i, c in enumerate(keep) if c not in added],
+        "n_words",
+        F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        F.size(items_of).cast("long").alias("n_items"),
+        items_of.alias("items"),
+        F.coalesce("hits", F.array().cast("array<struct<a:bigint,b:bigint>>")).alias("hits"),
     )
-    found = union.groupBy(ROW).agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), merged.alias("hits"))
-    found = found.select(ROW, "n_words", F.aggregate("hits", F.lit(0).cast("long"), lambda acc, h: acc + h["b"] - h["a"]).alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "hits")
-    return numbered.select(ROW, *[_col(numbered, c) for c in keep if c not in found.columns]).join(found, ROW).drop(ROW)
-
-
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
