@@ -30,3 +30,19 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(str, got.select(*columns).collect())) == sorted(map(str, want.select(*columns).collect()))
     ids = sorted(r.op_id for r in got.select("op_id").collect())
     assert ids == list(range(1, len(ids) + 1))
+
+
+def test_changes_read_again_and_rows_that_come_back(spark, tmp_path):
+    files = [[("t", "1", "t/1", "00001", [("a", "{}")])], [("t", "1", "t/1", "00001", [("a", "{}")])], [("t", "1", "t/1", "00002", [])], [("t", "1", "t/1", "00003", [("b", "{}")])]]
+    schema = spark.createDataFrame(files[0], STATES).schema
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", cdc.ROCKSDB)
+    try:
+        for rows in files:
+            spark.createDataFrame(rows, STATES).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            states = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+            q = cdc.run_into(states, str(tmp_path / "log"), str(tmp_path / "state")).trigger(availableNow=True).start()
+            assert q.awaitTermination(120)
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    got = spark.read.parquet(str(tmp_path / "log")).orderBy("op_id").collect()
+    assert [(r.op_id, r.bucket, r.op) for r in got] == [(1, "a", "PUT"), (2, "a", "REMOVE"), (3, "b", "PUT")]

@@ -8,7 +8,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from weirflow.functions.values import NULL, Kind, Val, as_blob, as_integer, as_real, as_text, blob, choose, condition, integer, let, null_of, of_json, real, text, truthy
+from weirflow.functions.values import NULL, Kind, Val, as_blob, as_integer, as_real, as_text, blob, choose, condition, integer, let, null_of, of_json, once, real, text, truthy
 
 
 _COLLECTORS: list[list[tuple[Column, str]]] = []
@@ -33,6 +33,14 @@ def failing(bad: Column, message: str, value: Column, kind: str) -> Column:
     return F.when(F.coalesce(bad, F.lit(False)), F.raise_error(F.lit(message)).cast(kind)).otherwise(value)
 
 
+def failing_null(bad: Column, message: str, value: Column, kind: str) -> Column:
+    """``failing`` for a value that is null anyway where ``bad`` holds."""
+    if _COLLECTORS:
+        _COLLECTORS[-1].append((F.coalesce(bad, F.lit(False)), message))
+        return value
+    return failing(bad, message, value, kind)
+
+
 def upper(x: Val) -> Val:
     return text(F.upper(as_text(x)))
 
@@ -117,8 +125,11 @@ def _path(path: str, arrow: bool) -> str:
     return "".join(f"[{k}]" if k.isdigit() else "['" + k.replace("'", "\\'") + "']" for k in keys)
 
 
-def json_get(j: Val, path: str | int, op: str, fixed: bool = True) -> Val:
-    """``op``: '->' gives JSON text, '->>' and 'json_extract' a value. ``fixed``: a JSON null is null (null as text for '->')."""
+def json_get(j: Val, path: str | int, op: str, fixed: bool = True, checked: bool = True) -> Val:
+    """``op``: '->' gives JSON text, '->>' and 'json_extract' a value. ``fixed``: a JSON null is null (null as text for '->').
+
+    ``checked``: a text that is no JSON makes the row an error.
+    """
     arrow = op != "json_extract"
     steps = f"[{path}]" if isinstance(path, int) else _path(path, arrow)
     doc = as_text(j)
@@ -127,7 +138,10 @@ def json_get(j: Val, path: str | int, op: str, fixed: bool = True) -> Val:
     if isinstance(path, str) and path != "$" and any(k.isdigit() for k in (path[2:] if path.startswith("$.") else path).split(".")):
         named = "".join("['" + k + "']" for k in (path[2:].split(".") if path.startswith("$.") else [path]))
         raw = F.coalesce(raw, F.get_json_object(F.concat(F.lit("["), doc, F.lit("]")), "$[*]" + named))
+    raw = once(raw)
     absent = raw.isNull()
+    if checked and steps:
+        raw = failing_null(absent & doc.isNotNull() & F.try_parse_json(doc).isNull(), "Invalid JSON", raw, "string")
     holds_null = F.lit(False) if not steps else absent & _has_null(doc, steps)
     if op == "->":
         return text(F.when(holds_null, F.lit("null") if fixed else null_of("string")).otherwise(raw))
@@ -186,6 +200,9 @@ def _millis(x: Val, modifiers: tuple[str, ...]) -> tuple[Column, bool]:
         of_number = F.floor(number * 1000 + 0.0000001)
     else:
         of_number = F.floor((number - 2440587.5) * 86400000.0 + 0.5)
+    if x.stamp is not None:
+        # exact: the rest is taken off first
+        return F.call_function("div", x.stamp - F.pmod(x.stamp, F.lit(1000)), F.lit(1000)).cast("bigint"), subsec
     part = lambda k: F.regexp_extract(s, _ISO, k)
 
     def clock(t: Column) -> Column:

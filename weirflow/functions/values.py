@@ -7,8 +7,10 @@ numeric), the kind is ``any`` and the value is held in parts: a tag and one colu
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from enum import IntFlag
+from itertools import count
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -45,6 +47,8 @@ class Val:
     cond: Column | None = None
     #: JSON text that the value was read from.
     json: Column | None = None
+    #: Microseconds since 1970, for texts that are time stamps.
+    stamp: Column | None = None
 
     def any(self) -> Val:
         """The same value in parts: tag (a Kind or 0), i, r, s, b."""
@@ -106,8 +110,31 @@ def literal(x) -> Val:
     return text(F.lit(x))
 
 
-def of_column(c: Column, kind: T.DataType) -> Val:
-    """A source column as the value that replication makes of it."""
+def stamp_text(c: Column, zoned: bool, iso: bool = True, digits: int = 6) -> Column:
+    """A time stamp as text; fractions are padded or cut to ``digits``, never rounded."""
+    fraction = "." + "S" * digits if digits else ""
+    return F.date_format(c, ("yyyy-MM-dd'T'HH:mm:ss" if iso else "yyyy-MM-dd HH:mm:ss") + fraction + ("'Z'" if zoned else ""))
+
+
+def composite_text(c: Column, kind: T.StructType) -> Column:
+    """A row type in the text form of its database: (a,b), nulls empty, what needs it in quotes."""
+
+    def member(f: T.StructField) -> Column:
+        x = c[f.name]
+        if isinstance(f.dataType, T.StructType):
+            raw = composite_text(x, f.dataType)
+        elif isinstance(f.dataType, T.BooleanType):
+            raw = F.when(x, "t").when(~x, "f")
+        else:
+            raw = x.cast("string")
+        doubled = F.replace(F.replace(raw, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('""'))
+        return F.when(raw.isNull(), "").when(raw.rlike(r'[",()\\\s]|^$'), F.concat(F.lit('"'), doubled, F.lit('"'))).otherwise(raw)
+
+    return F.when(c.isNotNull(), F.concat(F.lit("("), F.concat_ws(",", *[member(f) for f in kind.fields]), F.lit(")")))
+
+
+def of_column(c: Column, kind: T.DataType, iso: bool = True, digits: int | None = None, custom_types: bool = True) -> Val:
+    """A source column as the value that replication makes of it. ``digits``: the most that a time stamp's fraction has."""
     if isinstance(kind, T.BooleanType):
         return condition(c)
     if isinstance(kind, T.IntegralType):
@@ -118,10 +145,13 @@ def of_column(c: Column, kind: T.DataType) -> Val:
         return blob(c)
     if isinstance(kind, T.NullType):
         return NULL
-    if isinstance(kind, T.TimestampType):
-        return text(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
-    if isinstance(kind, T.TimestampNTZType):
-        return text(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        zoned, most = isinstance(kind, T.TimestampType), 6 if digits is None else min(6, digits)
+        micros = F.unix_micros(c) if zoned else F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), c)
+        micros = micros - F.pmod(micros, F.lit(10 ** (6 - most))) if most < 6 else micros
+        return Val(Kind.TEXT, stamp_text(c, zoned, iso, most), stamp=micros)
+    if isinstance(kind, T.StructType) and not custom_types:
+        return text(composite_text(c, kind))
     if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
         return text(F.to_json(c))
     if isinstance(kind, T.VariantType):
@@ -129,6 +159,30 @@ def of_column(c: Column, kind: T.DataType) -> Val:
     return text(c.cast("string"))
 
 
+_HOISTS: list[dict[str, tuple[str, Column]]] = []
+_NUMBERS = count()
+
+
+@contextmanager
+def hoisting():
+    """Inside, what ``once`` is given is collected, as (name, column) by its text, in the order in which columns may need others."""
+    found: dict[str, tuple[str, Column]] = {}
+    _HOISTS.append(found)
+    try:
+        yield found
+    finally:
+        _HOISTS.pop()
+
+
+def once(x: Column) -> Column:
+    """A column that a frame computes once per row, however many expressions use it; outside of ``hoisting``, the column itself."""
+    if not _HOISTS:
+        return x
+    # without where in the program it was written
+    name, _ = _HOISTS[-1].setdefault(x._jc.node().normalized().toString(), (f"__once{next(_NUMBERS)}", x))
+    return F.col(name)
+
+
 def let(x: Column, f) -> Column:
     """f of a column that is computed once, however often f uses it; keeps generated code small."""
     return F.element_at(F.transform(F.array(x), f), 1)
@@ -229,7 +283,7 @@ def of_json(raw: Column) -> Val:
             F.when(first == '"', F.get_json_object(F.concat(F.lit('{"v":'), r, F.lit("}")), "$.v")).when(first.isin("{", "["), r).alias("s"),
         )
 
-    made = let(F.trim(raw), parts)
+    made = once(let(F.trim(raw), parts))
     return Val(Kind.ANY, parts={k: made[k] for k in ("tag", "i", "r", "s")} | {"b": null_of("binary")}, json=raw)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirflow.operators.oplog import wrap32
@@ -47,6 +47,74 @@ def changed_subscriptions(log: DataFrame, resolved: DataFrame, last: int, upto:
     return resolved.join(changed_buckets(log, last, upto), "bucket", "left_semi")
 
 
+def changed_lookups(entries: DataFrame, last: int, upto: int) -> DataFrame:
+    """Lookups that got entries, empty ones too."""
+    return entries.filter((F.col("id") > last) & (F.col("id") <= upto)).select("lookup").distinct()
+
+
+def checkpoint_update(log: DataFrame, entries: DataFrame, resolved: DataFrame, used: DataFrame, last: int, upto: int, most: int = 1000) -> DataFrame:
+    """What each request must look at again between two checkpoints: request_id, invalidate_all, buckets.
+
+    ``resolved``: request_id, bucket; ``used``: request_id, lookup (what the request's buckets were found by). A request one
+    of whose lookups changed resolves its buckets anew and looks at all of them; so does every request if more than ``most``
+    buckets or lookups changed, as then no list of them is kept. Others look at those of their buckets that changed.
+    """
+    buckets, lookups = changed_buckets(log, last, upto), changed_lookups(entries, last, upto)
+    # ``most`` rows and one tell whether there are more
+    many = buckets.limit(most + 1).agg((F.count("*") > most).alias("b")).crossJoin(lookups.limit(most + 1).agg((F.count("*") > most).alias("l"))).select((F.col("b") | F.col("l")).alias("many"))
+    requests = resolved.select("request_id").union(used.select("request_id")).distinct()
+    moved = used.join(lookups, "lookup", "left_semi").select("request_id").distinct().withColumn("moved", F.lit(True))
+    changed = resolved.select("request_id", "bucket").distinct().join(buckets, "bucket", "left_semi").groupBy("request_id").agg(F.sort_array(F.collect_list("bucket")).alias("changed"))
+    joined = requests.join(moved, "request_id", "left").join(changed, "request_id", "left").crossJoin(F.broadcast(many))
+    every = F.coalesce(F.col("moved"), F.lit(False)) | F.col("many")
+    return joined.select("request_id", every.alias("invalidate_all"), F.when(~every, F.coalesce("changed", F.expr("cast(array() as array<string>)"))).alias("buckets"))
+
+
+def diff_line(old: DataFrame, new: DataFrame, resolved_old: DataFrame, resolved: DataFrame, checkpoint: int) -> DataFrame:
+    """One line per request on what changed between two checkpoints: buckets that are new or whose checksum changed, and buckets that are gone."""
+    now = resolved.join(new, "bucket", "left").select("request_id", "bucket", "priority", F.coalesce("checksum", F.lit(0)).alias("checksum"), F.coalesce("n_ops", F.lit(0)).alias("count"))
+    was = resolved_old.join(old, "bucket", "left").select(F.col("request_id").alias("r"), F.col("bucket").alias("b"), F.coalesce("checksum", F.lit(0)).alias("c"), F.coalesce("n_ops", F.lit(0)).alias("n"))
+    both = now.join(was, (F.col("request_id") == F.col("r")) & (F.col("bucket") == F.col("b")), "full_outer")
+    updated = F.col("bucket").isNotNull() & (F.col("b").isNull() | (F.col("checksum") != F.col("c")) | (F.col("count") != F.col("n")))
+    entry = F.struct("bucket", "checksum", "count", "priority")
+    lines = both.groupBy(F.coalesce("request_id", "r").alias("request_id")).agg(F.sort_array(F.collect_list(F.when(updated, entry))).alias("updated_buckets"), F.sort_array(F.collect_list(F.when(F.col("bucket").isNull(), F.col("b")))).alias("removed_buckets"))
+    diff = F.struct(F.lit(str(checkpoint)).alias("last_op_id"), "removed_buckets", "updated_buckets")
+    return lines.select("request_id", F.to_json(F.struct(diff.alias("checkpoint_diff"))).alias("line"))
+
+
+def completion_lines(batch: DataFrame, wanted: DataFrame, checkpoint: int, invalid: DataFrame | None = None) -> DataFrame:
+    """What follows the data of each priority (priority, line), once all of it is sent: partial_checkpoint_complete, after the last one checkpoint_complete.
+
+    ``batch``: as of ``data_batch``; ``wanted``: bucket, after, priority; ``invalid``: buckets whose data refers to later ops.
+    Nothing follows a priority with data left or an invalid bucket, nor those after it.
+    """
+    left = batch.groupBy("priority").agg(F.max("has_more").alias("more"))
+    per = wanted.groupBy("priority").agg(F.count("*").alias("n"))
+    per = per.join(left, "priority", "left")
+    if invalid is not None:
+        bad = wanted.join(invalid.select("bucket"), "bucket", "left_semi").select("priority").distinct().withColumn("bad", F.lit(True))
+        per = per.join(bad, "priority", "left")
+    else:
+        per = per.withColumn("bad", F.lit(False))
+    # one row per priority: four at most
+    w = Window.orderBy("priority")
+    stopped = F.max(F.coalesce("more", F.lit(False)) | F.coalesce("bad", F.lit(False))).over(w)
+    rows = per.withColumn("stopped", stopped).withColumn("last", F.lead("priority").over(w).isNull()).filter("not stopped")
+    op = F.lit(str(checkpoint)).alias("last_op_id")
+    line = F.when(F.col("last"), F.to_json(F.struct(F.struct(op).alias("checkpoint_complete")))).otherwise(F.to_json(F.struct(F.struct(op, "priority").alias("partial_checkpoint_complete"))))
+    return rows.select("priority", line.alias("line"))
+
+
+def until_superseded(batch: DataFrame, newer: bool, after_ops: int = 1000) -> DataFrame:
+    """The chunks of a batch that are sent if a newer checkpoint comes in: those that begin before ``after_ops`` ops were sent."""
+    if not newer:
+        return batch
+    chunks = batch.groupBy("priority", "bucket", "chunk").agg(F.count("*").alias("__n"))
+    # a batch has a bounded number of ops
+    before = F.sum("__n").over(Window.orderBy("priority", "bucket", "chunk").rowsBetween(Window.unboundedPreceding, -1))
+    return batch.join(chunks.withColumn("__before", F.coalesce(before, F.lit(0))).filter(F.col("__before") < after_ops).drop("__n", "__before"), ["priority", "bucket", "chunk"], "left_semi")
+
+
 def data_batch(log: DataFrame, wanted: DataFrame, upto: int, limit: int = CHUNK_OPS, chunk_ops: int = CHUNK_OPS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Up to ``limit`` next ops of buckets (bucket, after, priority), by priority, bucket and op, with their chunks.
 
@@ -103,3 +171,31 @@ def lsn_key(high, low):
 def may_commit(lsn: str, last_lsn: str | None, no_checkpoint_before: str | None, snapshot_done: bool) -> bool:
     """Whether a commit at a log position makes a checkpoint."""
     return snapshot_done and (last_lsn is None or lsn >= last_lsn) and (no_checkpoint_before is None or lsn >= no_checkpoint_before)
+
+
+def commits(attempts: DataFrame) -> DataFrame:
+    """Which attempts to commit make a checkpoint, one replication stream after another: checkpoint (null: none), resume_lsn.
+
+    ``attempts``: stream, at (order), kind (commit, keepalive), lsn, op_id (last op written), snapshot_done,
+    no_checkpoint_before. A commit counts once the snapshot is done, and its lsn is neither below ``no_checkpoint_before`` nor
+    below that of an earlier one; its checkpoint is the greatest op so far. A keepalive moves only the place to resume from.
+    """
+    w = Window.partitionBy("stream").orderBy("at")
+    upto, earlier = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    may = F.col("snapshot_done") & (F.col("no_checkpoint_before").isNull() | (F.col("lsn") >= F.col("no_checkpoint_before")))
+    rows = attempts.withColumn("__may", may)
+    highest = F.max(F.when(F.col("__may"), F.col("lsn"))).over(earlier)
+    rows = rows.withColumn("__ok", F.col("__may") & (highest.isNull() | (F.col("lsn") >= highest)))
+    rows = rows.withColumn("checkpoint", F.when(F.col("__ok") & (F.col("kind") == "commit"), F.max("op_id").over(upto))).withColumn("resume_lsn", F.max(F.when(F.col("__ok"), F.col("lsn"))).over(upto))
+    return rows.drop("__may", "__ok")
+
+
+def replication_lag(uncommitted: DataFrame, now: Column) -> DataFrame:
+    """Per stream, how long its oldest change that no checkpoint has yet is waiting: seconds, 0 without any."""
+    return uncommitted.groupBy("stream").agg(F.greatest(F.lit(0.0), F.coalesce(F.unix_micros(now) - F.min(F.unix_micros("changed_at")), F.lit(0)) / 1e6).alias("seconds"))
+
+
+def token_lines(requests: DataFrame, now: Column) -> DataFrame:
+    """What tells a client how many seconds its token still holds: request_id, line."""
+    left = F.greatest(F.lit(0), F.floor((F.unix_micros("expires_at") - F.unix_micros(now)) / 1e6)).cast("bigint")
+    return requests.select("request_id", F.to_json(F.struct(left.alias("token_expires_in"))).alias("line"))

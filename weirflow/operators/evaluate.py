@@ -6,17 +6,23 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from weirflow.functions.scalar import collected
-from weirflow.functions.values import Kind, Val, as_filter, as_json, as_text, json_string, key_value
+from weirflow.functions.values import Kind, Val, as_filter, as_json, as_text, hoisting, json_string, key_value
 from weirflow.operators.expressions import Env, column, elements, with_env
 from weirflow.plans.model import Bucket, Each, Evaluator, Lookup, Plan, Querier, Stream
-from weirflow.sources.tables import scan
+from weirflow.sources.tables import matching, scan
 
 MAX_BUCKETS, MAX_RESULTS, MAX_PER_DEFINITION = 1000, 1000, 100
 
 
+def _with(frame: DataFrame, hoisted: dict) -> DataFrame:
+    """The columns that expressions share, each computed once."""
+    for name, c in hoisted.values():
+        frame = frame.withColumn(name, c)
+    return frame
+
+
 def _explode(frame: DataFrame, each: Each, env: Env) -> DataFrame:
     members = elements(as_text(env.value(each.expr)))
     out = frame.select("*", F.explode(members).alias("__m"))
@@ -29,13 +35,21 @@ def _frame(tables: dict[str, DataFrame], part: Evaluator | Lookup, like: Env) ->
     env = with_env(frame, like)
     for e in part.each:
         frame = _explode(frame, e, env)
-    for f in part.filters:
-        frame = frame.filter(as_filter(env.value(f)))
-    return frame, env
+    return _filtered(frame, part.filters, env), env
+
+
+def _filtered(frame: DataFrame, filters, env: Env) -> DataFrame:
+    """The rows that pass filters; a row on which one can't be evaluated doesn't."""
+    with hoisting() as hoisted, collected() as bad:
+        conditions = [as_filter(env.value(f)) for f in filters]
+    frame = _with(frame, hoisted)
+    for c in [*conditions, *(~b for b, _ in bad)]:
+        frame = frame.filter(c)
+    return frame
 
 
 def _env(stream: Stream) -> Env:
-    return Env(semantics=stream.semantics, fixed_json=stream.fixed_json)
+    return Env(semantics=stream.semantics, fixed_json=stream.fixed_json, iso=stream.iso, digits=stream.digits, custom_types=stream.custom_types)
 
 
 def _usable(v: Val) -> Column:
@@ -80,11 +94,13 @@ def _evaluated(stream: Stream, bucket: Bucket, ev: Evaluator, tables: dict[str,
     env = with_env(frame, like)
     for e in ev.each:
         frame = _explode(frame, e, env)
-    with collected() as in_filters:
-        filters = [as_filter(env.value(f)) for f in ev.filters]
-    with collected() as in_values:
-        keys = [env.value(k) for k in ev.keys]
-        out = _output(ev, frame, env, stream.legacy_star)
+    with hoisting() as hoisted:
+        with collected() as in_filters:
+            filters = [as_filter(env.value(f)) for f in ev.filters]
+        with collected() as in_values:
+            keys = [env.value(k) for k in ev.keys]
+            out = _output(ev, frame, env, stream.legacy_star)
+    frame = _with(frame, hoisted)
     return frame, filters, keys, out, in_filters, in_values
 
 
@@ -98,8 +114,11 @@ def row_errors(stream: Stream, bucket: Bucket, ev: Evaluator, tables: dict[str,
     return frame.select(kind.alias("object_type"), object_id.alias("object_id"), message.alias("error")).filter("error is not null")
 
 
-def source_rows(stream: Stream, bucket: Bucket, ev: Evaluator, tables: dict[str, DataFrame], typed: bool = True) -> DataFrame:
-    """bucket, object_type, object_id, and either the selected columns (values of mixed type as text) or ``data`` as JSON."""
+def source_rows(stream: Stream, bucket: Bucket, ev: Evaluator, tables: dict[str, DataFrame], typed: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """bucket, object_type, object_id, and either the selected columns (values of mixed type as text) or ``data`` as JSON.
+
+    ``carry``: columns of the table that are passed on as they are; their names begin with $.
+    """
     frame, filters, keys, out, in_filters, in_values = _evaluated(stream, bucket, ev, tables)
     for f in filters:
         frame = frame.filter(f)
@@ -109,7 +128,7 @@ def source_rows(stream: Stream, bucket: Bucket, ev: Evaluator, tables: dict[str,
         frame = frame.filter(~bad)
     kind = F.lit(ev.table.output) if ev.table.output else column(f"{ev.table.alias}|$table_name")
     object_id = F.coalesce(as_text(out["id"]), F.lit("")) if "id" in out else F.lit("")
-    head = [bucket_name(bucket.prefix, keys).alias("bucket"), kind.alias("object_type"), object_id.alias("object_id")]
+    head = [bucket_name(bucket.prefix, keys).alias("bucket"), kind.alias("object_type"), object_id.alias("object_id"), *[column(f"{ev.table.alias}|{c}").alias(c) for c in carry]]
     if typed:
         return frame.select(*head, *[(as_text(v) if v.parts or v.kind == Kind.NONE else v.col).alias(k) for k, v in out.items()])
     members: list[Column] = []
@@ -130,24 +149,33 @@ def bucket_rows(plan: Plan, tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def lookup_rows(plan: Plan, tables: dict[str, DataFrame]) -> DataFrame:
-    """Rows of the lookup indexes: lookup, key (JSON array of what is looked up), output (JSON array of what is given).
-
-    Key parts and outputs that are null or blobs make no row; integral reals are stored as integers. One row per key and
-    output, so that a key that leads to very many outputs is no single value.
-    """
+def lookup_sources(plan: Plan, tables: dict[str, DataFrame], carry: tuple[str, ...] = ()) -> list[DataFrame]:
+    """What the tables give to each lookup of a plan that reads one of them: lookup, lookup_key, output, and the carried columns."""
     parts = []
     for s in plan.streams:
         for b in s.buckets:
             for q, querier in enumerate(b.queriers):
                 for n, lookup in enumerate(querier.lookups):
+                    if not matching(tables, lookup.table):
+                        continue
                     frame, env = _frame(tables, lookup, _env(s))
-                    ins, outs = ([key_value(env.value(e)) for e in es] for es in (lookup.inputs, lookup.outputs))
-                    for v in [*ins, *outs]:
-                        frame = frame.filter(_usable(v))
-                    rows = frame.select(F.lit(f"{b.prefix}|{q}|{n}").alias("lookup"), bucket_name("", ins).alias("key"), bucket_name("", outs).alias("output"))
-                    parts.append(rows.distinct())
-    return reduce(DataFrame.unionByName, parts)
+                    with hoisting() as hoisted, collected() as bad:
+                        ins, outs = ([key_value(env.value(e)) for e in es] for es in (lookup.inputs, lookup.outputs))
+                    frame = _with(frame, hoisted)
+                    for c in [*map(_usable, [*ins, *outs]), *(~b for b, _ in bad)]:
+                        frame = frame.filter(c)
+                    kept = [column(f"{lookup.table.alias}|{c}").alias(c) for c in carry]
+                    parts.append(frame.select(F.lit(f"{b.prefix}|{q}|{n}").alias("lookup"), bucket_name("", ins).alias("lookup_key"), bucket_name("", outs).alias("output"), *kept).distinct())
+    return parts
+
+
+def lookup_rows(plan: Plan, tables: dict[str, DataFrame]) -> DataFrame:
+    """Rows of the lookup indexes: lookup, key (JSON array of what is looked up), output (JSON array of what is given).
+
+    Key parts and outputs that are null or blobs make no row; integral reals are stored as integers. One row per key and
+    output, so that a key that leads to very many outputs is no single value.
+    """
+    return reduce(DataFrame.unionByName, lookup_sources(plan, tables)).withColumnRenamed("lookup_key", "key")
 
 
 def _join_on(a: Val, b: Val) -> tuple[Column, Column]:
@@ -158,13 +186,19 @@ def _join_on(a: Val, b: Val) -> tuple[Column, Column]:
 
 
 def requests_frame(stream: Stream, requests: DataFrame) -> DataFrame:
-    """The requests that subscribe to a stream: by name, or by default where the stream allows it and no name is given for it."""
+    """The requests that subscribe to a stream: by name, or by default where the stream allows it.
+
+    A row that names the stream without parameters (null subscription) stands for the request's default subscription; one
+    with parameters is a subscription beside it.
+    """
     named = F.col("stream") == stream.name
     own = requests.filter(named)
     if stream.auto_subscribe:
-        own = requests.filter(named | F.col("stream").isNull())
+        explicit = own.filter(F.col("subscription").isNull()).select(F.col("request_id").alias("__explicit")).distinct()
+        default = requests.filter(F.col("stream").isNull())
+        own = own.unionByName(default.join(explicit, F.col("request_id") == F.col("__explicit"), "left_anti"))
     return own.select(
-        F.col("request_id").alias("request|id"), *[F.col(c).alias(f"request|{c}") for c in ("auth", "connection", "subscription")], F.coalesce(F.col("priority"), F.lit(stream.priority)).cast("int").alias("request|priority")
+        F.col("request_id").alias("request|id"), *[F.col(c).alias(f"request|{c}") for c in ("auth", "connection", "subscription")], F.col("priority").cast("int").alias("request|priority")
     )
 
 
@@ -175,8 +209,7 @@ def querier_buckets(stream: Stream, bucket: Bucket, querier: Querier, tables: di
     env = with_env(frame, like)
     for e in querier.each:
         frame = _explode(frame, e, env)
-    for f in querier.filters:
-        frame = frame.filter(as_filter(env.value(f)))
+    frame = _filtered(frame, querier.filters, env)
     have = {"@request"} | {e.alias for e in querier.each}
     left = list(querier.lookups)
     pending = list(querier.joins)
@@ -202,12 +235,22 @@ def querier_buckets(stream: Stream, bucket: Bucket, querier: Querier, tables: di
         wanted = _columns_used(querier, lookup)
         conditions = None
         pairs = []
-        for k, (x, y) in enumerate(on):
-            far, near = (x, y) if owners(x) <= have else (y, x)
-            a, b = env.value(far), side_env.value(near)
+        with collected() as bad_far:
+            with hoisting() as of_frame:
+                fars = [env.value(x if owners(x) <= have else y) for x, y in on]
+            frame = _with(frame, of_frame)
+        with collected() as bad_near:
+            with hoisting() as of_side:
+                nears = [side_env.value(y if owners(x) <= have else x) for x, y in on]
+            side = _with(side, of_side)
+        for k, (a, b) in enumerate(zip(fars, nears)):
             frame, side = frame.filter(_usable(a)), side.filter(_usable(b))
             ca, cb = _join_on(a, b)
             pairs.append((f"__a{k}", ca, f"__b{k}", cb))
+        for b, _ in bad_far:
+            frame = frame.filter(~b)
+        for b, _ in bad_near:
+            side = side.filter(~b)
         frame = frame.select("*", *[ca.alias(na) for na, ca, _, _ in pairs])
         side = side.select(*[column(c) for c in side.columns if c.partition("|")[0].startswith("json_each!") or c in wanted], *[cb.alias(nb) for _, _, nb, cb in pairs]).distinct()
         for na, _, nb, _ in pairs:
@@ -220,14 +263,17 @@ def querier_buckets(stream: Stream, bucket: Bucket, querier: Querier, tables: di
         have |= mine
         left.remove(lookup)
         pending = [p for p in pending if p not in on]
-    for x, y in pending:
-        a, b = env.value(x), env.value(y)
+    with hoisting() as hoisted, collected() as bad:
+        equal = [(env.value(x), env.value(y)) for x, y in pending]
+        values = [env.value(v) for v in querier.values]
+    frame = _with(frame, hoisted)
+    for a, b in equal:
         ca, cb = _join_on(a, b)
         frame = frame.filter(_usable(a) & _usable(b) & (ca == cb))
-    values = [env.value(v) for v in querier.values]
-    for v in values:
-        frame = frame.filter(_usable(v))
-    return frame.select(F.col("`request|id`").alias("request_id"), bucket_name(bucket.prefix, values).alias("bucket"), F.col("`request|priority`").alias("priority"), F.lit(stream.name).alias("reason")).distinct()
+    for c in [*map(_usable, values), *(~b for b, _ in bad)]:
+        frame = frame.filter(c)
+    own = stream.priority if querier.priority is None else querier.priority
+    return frame.select(F.col("`request|id`").alias("request_id"), bucket_name(bucket.prefix, values).alias("bucket"), F.coalesce(F.col("`request|priority`"), F.lit(own)).cast("int").alias("priority"), F.lit(stream.name).alias("reason")).distinct()
 
 
 def _columns_used(querier: Querier, lookup: Lookup) -> set[str]:
@@ -256,5 +302,9 @@ def over_limits(resolved: DataFrame, buckets: int = MAX_BUCKETS, per_definition:
     return ranked.filter((F.col("buckets") > buckets) | (F.col("largest")[0]["n"] > per_definition))
 
 
-def empty_requests(spark) -> T.StructType:
-    return T.StructType([T.StructField(c, T.StringType()) for c in ("request_id", "auth", "connection", "subscription", "stream")] + [T.StructField("priority", T.IntegerType())])
+def within_limits(resolved: DataFrame, buckets: int = MAX_BUCKETS, per_definition: int = MAX_PER_DEFINITION) -> tuple[DataFrame, DataFrame]:
+    """The buckets of requests that keep the limits, and what is wrong with the others: request_id, error. A refused request reads nothing."""
+    over = over_limits(resolved, buckets, per_definition)
+    named = F.array_join(F.transform("largest", lambda x: F.concat(x["definition"], F.lit(": "), x["n"].cast("string"))), ", ")
+    errors = over.select("request_id", F.concat(F.lit("Too many buckets: "), F.col("buckets").cast("string"), F.lit(f" (limit of {buckets}, {per_definition} per definition). "), named).alias("error"))
+    return resolved.join(over.select("request_id"), "request_id", "left_anti"), errors

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +28,10 @@ class Env:
     #: 'js' (NOT NULL is true, AND/OR are two-valued, reals are cast downwards) or 'sqlite'
     semantics: str = "js"
     fixed_json: bool = True
+    #: How time stamps and row types are written.
+    iso: bool = True
+    digits: int | None = None
+    custom_types: bool = True
 
     def ref(self, n: Ref) -> Val:
         if n.table and n.table.startswith("json_each!"):
@@ -40,7 +44,7 @@ class Env:
             if not low:
                 return NULL
             n, kind = Ref(*low[0]), self.types[low[0]]
-        return of_column(column(f"{n.table}|{n.column}"), kind)
+        return of_column(column(f"{n.table}|{n.column}"), kind, self.iso, self.digits, self.custom_types)
 
     def value(self, n) -> Val:
         if isinstance(n, Lit):
@@ -81,7 +85,7 @@ class Env:
             if n.name in ("parameters", "jwt"):
                 return whole
             key = "sub" if n.name == "user_id" else str(n.args[0].value)
-            return json_get(whole, f"$.{key}", "->>", self.fixed_json)
+            return json_get(whole, f"$.{key}", "->>", self.fixed_json, checked=False)
         fn, _, _, fixed = FUNCTIONS[n.name]
         args = [a.value if k in fixed else self.value(a) for k, a in enumerate(n.args)]
         if n.name == "json_extract":
@@ -163,7 +167,7 @@ def _contains(array: Val, x: Val) -> Column:
 
 def with_env(frame: DataFrame, like: Env | None = None) -> Env:
     """The names of a frame whose columns are called ``id|name``."""
-    env = Env(semantics=like.semantics, fixed_json=like.fixed_json) if like else Env()
+    env = replace(like, types={}) if like else Env()
     for f in frame.schema.fields:
         owner, bar, name = f.name.partition("|")
         if bar and owner != "request" and not owner.startswith("json_each!"):

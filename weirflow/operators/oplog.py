@@ -36,16 +36,48 @@ def wrap32(total: Column) -> Column:
     return F.call_function("shiftright", F.call_function("shiftleft", total.cast("bigint"), F.lit(32)), F.lit(32))
 
 
+UUID_TEXT = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
+#: Fixed value: the namespace of keys that aren't UUIDs.
+KEY_NAMESPACE = "a396dd9109fc4017a28d3df722f651e9"
+
+
 def subkey_of(table: Column, replica_id: Column) -> Column:
     return F.concat(table, F.lit("/"), replica_id)
 
 
-def row_bytes(*columns: Column) -> Column:
-    """An estimate of a row's size: 12 and the text length of each value."""
-    out = F.lit(12)
-    for c in columns:
-        out = out + F.coalesce(F.octet_length(c.cast("string")), F.lit(1)) + 4
-    return out
+def _int32(n: Column) -> Column:
+    """Four bytes, the lowest first, as hex digits."""
+    h = F.lpad(F.hex(n.cast("bigint")), 8, "0")
+    return F.concat(*[F.substring(h, k, 2) for k in (7, 5, 3, 1)])
+
+
+def hashed_subkey(table: Column, replica_id: Column) -> Column:
+    """The key under which storage holds a row: ``table/id`` for a UUID, else a UUID (version 5) of the BSON document {table, id}, of texts."""
+
+    def member(name: str, value: Column) -> Column:
+        return F.concat(F.lit("02" + name.encode().hex() + "00"), _int32(F.octet_length(value) + 1), F.hex(value.cast("binary")), F.lit("00"))
+
+    body = F.concat(member("table", table), member("id", replica_id))
+    document = F.concat(_int32(F.length(body) / 2 + 5), body, F.lit("00"))
+    h = F.sha1(F.unhex(F.concat(F.lit(KEY_NAMESPACE), document)))
+    variant = F.substring(F.lit("89ab"), F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4 + 1, F.lit(1))
+    made = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
+    return F.when(replica_id.rlike(UUID_TEXT), F.concat(table, F.lit("/"), F.lower(replica_id))).otherwise(made)
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """An estimate of each row's size: for every column 12, its name, and 4 for null, 8 for a number, else the value's length."""
+    out = F.lit(0)
+    for f in df.schema.fields:
+        c = df["`" + f.name.replace("`", "``") + "`"]
+        if isinstance(f.dataType, (T.NumericType, T.BooleanType)):
+            size = F.lit(8)
+        elif isinstance(f.dataType, T.BinaryType):
+            size = F.octet_length(c)
+        else:
+            size = F.length(c.cast("string"))
+        out = out + 12 + len(f.name) + F.when(c.isNull(), 4).otherwise(size)
+    return out.cast("bigint")
 
 
 def limited(rows: DataFrame, limit: int = MAX_ROW_BYTES) -> DataFrame:
@@ -85,6 +117,32 @@ def changes_to_ops(states: DataFrame, first_op: int = 0) -> DataFrame:
     return numbered(out, ["seq", "kind", "bucket", "subkey"], first_op).drop("seq", "kind")
 
 
+def changes_to_lookups(states: DataFrame, first_id: int = 0) -> DataFrame:
+    """Entries of lookups from a history of row states: lookup, source_key, id, outputs.
+
+    ``states``: source_key, seq, lookups (array of (lookup, outputs)). Each lookup that a row gives to gets an entry with its
+    outputs; one that it no longer gives to gets an entry without any, which takes the earlier ones back.
+    """
+    before = F.coalesce(F.lag("lookups").over(Window.partitionBy("source_key").orderBy("seq")), F.expr("cast(array() as array<struct<lookup:string,outputs:array<string>>>)"))
+    rows = states.withColumn("before", before)
+    gone = F.array_except(F.transform("before", lambda x: x["lookup"]), F.transform("lookups", lambda x: x["lookup"]))
+    empty = F.transform(gone, lambda x: F.struct(x.alias("lookup"), F.expr("cast(array() as array<string>)").alias("outputs")))
+    made = rows.select("source_key", "seq", F.explode(F.concat("lookups", empty)).alias("e")).select("source_key", "seq", "e.lookup", "e.outputs")
+    return numbered(made, ["seq", "source_key", "lookup"], first_id, "id").select("lookup", "source_key", "id", "outputs")
+
+
+def flush_groups(changes: DataFrame, order: list[str], size: Column, max_rows: int = 2000, max_bytes: int = 5_000_000) -> DataFrame:
+    """Adds ``flush``: which write a change goes into, in a common order; a write takes ``max_rows`` rows, and bytes that fit.
+
+    Rows are numbered first; sums of bytes are taken within stretches of ``max_rows`` numbers, so that no task sees all rows.
+    """
+    rows = numbered(changes.withColumn("__size", size.cast("bigint")), order, name="__n")
+    stretch = F.floor((F.col("__n") - 1) / max_rows)
+    before = F.sum("__size").over(Window.partitionBy("__stretch").orderBy("__n").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__size")
+    rows = rows.withColumn("__stretch", stretch)
+    return rows.withColumn("flush", F.struct(F.col("__stretch").alias("stretch"), F.floor(before / max_bytes).alias("part"))).drop("__size", "__n", "__stretch")
+
+
 def numbered(rows: DataFrame, order: list[str], first: int = 0, name: str = "op_id") -> DataFrame:
     """Consecutive numbers in a total order, without one task that sees all rows.
 
@@ -161,3 +219,40 @@ def compact_parameters(entries: DataFrame) -> DataFrame:
 def latest_lookups(entries: DataFrame, checkpoint: int) -> DataFrame:
     """What lookups gave as of a checkpoint."""
     return compact_parameters(entries.filter(F.col("id") <= checkpoint))
+
+
+def touched(log: DataFrame, first_op: int) -> DataFrame:
+    """New PUTs of all live rows, as if each had been written again: after a compaction, buckets of many MOVEs are small then."""
+    last = F.max("op_id").over(Window.partitionBy("bucket", "object_type", "object_id", "subkey"))
+    live = log.filter(F.col("op").isin("PUT", "REMOVE")).withColumn("__last", last).filter("op_id = __last and op = 'PUT'")
+    return numbered(live.select("bucket", "op", "object_type", "object_id", "subkey", "data", "checksum", "target_op"), ["bucket", "object_type", "object_id", "subkey"], first_op).select(*log.columns)
+
+
+def compaction_due(sums: DataFrame, compacted: DataFrame, least_ops: int = 10, least_share: float = 0.1) -> DataFrame:
+    """Buckets that are worth compacting: enough ops since the last time, by number and by share.
+
+    ``sums``: bucket, n_ops; ``compacted``: bucket, n_ops as of the last compaction.
+    """
+    done = compacted.select("bucket", F.col("n_ops").alias("before"))
+    both = sums.join(done, "bucket", "left").select("bucket", "n_ops", (F.col("n_ops") - F.coalesce("before", F.lit(0))).cast("bigint").alias("new_ops"))
+    return both.filter((F.col("new_ops") >= least_ops) & (F.col("new_ops") >= least_share * F.col("n_ops")))
+
+
+def chunk_documents(log: DataFrame, max_bytes: int = 1 << 20, span: int = 100_000) -> DataFrame:
+    """A log packed into documents of up to ``max_bytes`` of data: bucket, min_op, max_op, n_ops, checksum, data_bytes, ops.
+
+    No document crosses a multiple of ``span`` op ids, so that a bucket of any size is packed side by side.
+    """
+    size = F.coalesce(F.octet_length("data"), F.lit(0)).cast("bigint")
+    rows = log.withColumn("__span", F.floor(F.col("op_id") / span)).withColumn("__size", size)
+    before = F.sum("__size").over(Window.partitionBy("bucket", "__span").orderBy("op_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__size")
+    rows = rows.withColumn("__part", F.floor(before / max_bytes))
+    op = F.struct("op_id", "op", "object_type", "object_id", "subkey", "data", "checksum", "target_op")
+    return rows.groupBy("bucket", "__span", "__part").agg(
+        F.min("op_id").alias("min_op"), F.max("op_id").alias("max_op"), F.count("*").alias("n_ops"), wrap32(F.sum("checksum")).alias("checksum"), F.sum("__size").alias("data_bytes"), F.sort_array(F.collect_list(op)).alias("ops")
+    ).drop("__span", "__part")
+
+
+def unpacked(documents: DataFrame) -> DataFrame:
+    """The log that documents hold."""
+    return documents.select("bucket", F.explode("ops").alias("o")).select("bucket", "o.*")

@@ -52,12 +52,18 @@ def _priority(x) -> int:
     return x
 
 
-def load(source) -> Plan:
-    """The plan of a whole definition."""
+def load(source, version: int | None = None) -> Plan:
+    """The plan of a whole definition. ``version``: of its deployment; bucket names begin with it where the definition's options say so."""
     spec = _mapping(source)
     options = options_of(spec.get("config") or {})
     plan = Plan(options["edition"], options=options)
-    kept = {"fixed_json": options["fixed_json_extract"], "semantics": "sqlite" if options["unstable_sqlite_expression_engine"] else "js"}
+    kept = {
+        "fixed_json": options["fixed_json_extract"],
+        "semantics": "sqlite" if options["unstable_sqlite_expression_engine"] else "js",
+        "iso": options["timestamps_iso8601"],
+        "digits": options.get("timestamp_max_precision"),
+        "custom_types": options["custom_postgres_types"],
+    }
     shared = dict(spec.get("with") or {})
     for name, d in (spec.get("streams") or {}).items():
         queries = _list(d.get("query")) + _list(d.get("queries"))
@@ -76,12 +82,10 @@ def load(source) -> Plan:
     for name, d in (spec.get("bucket_definitions") or {}).items():
         plan.streams.append(compile_bucket_definition(name, _list(d.get("parameters")), _list(d.get("data")), priority=_priority(d.get("priority")), auto_subscribe=True, legacy_star=True, **kept))
     for name, d in (spec.get("event_definitions") or {}).items():
-        plan.events[name] = [compile_stream(name, [q]) for q in _list(d.get("payloads"))]
+        plan.events[name] = [compile_stream(name, [q], **kept) for q in _list(d.get("payloads"))]
     if not plan.streams and not plan.events:
         raise DefinitionError("Nothing is defined")
-    if options["versioned_bucket_ids"]:
-        plan.options["bucket_prefix"] = "1#"
-    return plan
+    return versioned(plan, version) if version is not None and options["versioned_bucket_ids"] else plan
 
 
 def versioned(plan: Plan, version: int) -> Plan:

@@ -58,6 +58,8 @@ class Querier:
     lookups: tuple[Lookup, ...]
     joins: tuple[tuple[object, object], ...]
     values: tuple
+    #: Of the buckets it leads to; None: the stream's.
+    priority: int | None = None
 
 
 @dataclass
@@ -78,6 +80,10 @@ class Stream:
     semantics: str = "js"
     #: Editions below 3: '*' leaves out names with a leading underscore and doesn't overwrite.
     legacy_star: bool = False
+    #: Time stamps with a T or a space, and the most digits of their fractions; row types as JSON or in their database's text form.
+    iso: bool = True
+    digits: int | None = None
+    custom_types: bool = True
 
 
 @dataclass

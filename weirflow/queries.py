@@ -137,10 +137,15 @@ def q11_text_functions(spark, sf_dir):
     return _rows(spark, sf_dir, sql, "part").drop("bucket", "object_type", "object_id")
 
 
-@register("SELECT p_partkey AS id, hex(p_name) AS h, base64(encode(p_name)) AS b, '550E8400E29B41D4A716446655440000' AS u, '' AS none FROM part")
+_UUID = "lpad(CAST(p_partkey AS VARCHAR), 8, '0') || '-e29b-41d4-a716-' || lpad(CAST(p_size AS VARCHAR), 12, 'aF')"
+
+
+@register(f"SELECT p_partkey AS id, hex(p_name) AS h, base64(encode(p_name)) AS b, upper(replace({_UUID}, '-', '')) AS u, '' AS none FROM part")
 def q12_encodings(spark, sf_dir):
-    sql = "SELECT p_partkey AS id, hex(p_name) AS h, base64(p_name) AS b, hex(uuid_blob('550e8400-e29b-41d4-a716-446655440000')) AS u, hex(NULL) AS none FROM part"
-    return _rows(spark, sf_dir, sql, "part").drop("bucket", "object_type", "object_id")
+    part = parquet_tables(spark, sf_dir, "part")["part"]
+    uuid = F.concat(F.lpad(F.col("p_partkey").cast("string"), 8, "0"), F.lit("-e29b-41d4-a716-"), F.lpad(F.col("p_size").cast("string"), 12, "aF"))
+    sql = "SELECT p_partkey AS id, hex(p_name) AS h, base64(p_name) AS b, hex(uuid_blob(u)) AS u, hex(NULL) AS none FROM p"
+    return _rows(spark, sf_dir, sql, extra={"p": part.withColumn("u", uuid)}).drop("bucket", "object_type", "object_id")
 
 
 @register(f"""SELECT 's|0["' || tag || '"]' AS bucket, 'u' AS object_type, CAST(user_id AS VARCHAR) AS object_id, user_id AS id, CAST(len(tags) AS BIGINT) AS n, '["k"]' AS keys FROM ({_TAGGED}), unnest(tags) AS x(tag)""")
@@ -161,11 +166,25 @@ def q15_casts(spark, sf_dir):
     return _rows(spark, sf_dir, sql, "part").drop("bucket", "object_type", "object_id")
 
 
-@register("SELECT s_suppkey AS id, CAST(1 AS DOUBLE) AS x, CAST(2 AS DOUBLE) AS y, 'POINT(1 2)' AS wkt, '{\"type\":\"Point\",\"coordinates\":[1,2]}' AS geojson, CAST(NULL AS DOUBLE) AS none FROM supplier")
+def _double_hex(x):
+    """A double's eight bytes, the lowest first, as hex digits; for numbers of few binary digits."""
+    a = F.abs(x)
+    e = F.floor(F.log2(F.when(a > 0, a).otherwise(1.0)))
+    mantissa = F.when(a > 0, ((a / F.pow(F.lit(2.0), e) - 1.0) * float(1 << 52)).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    top = F.when(a > 0, (e + 1023).cast("bigint")).otherwise(F.lit(0).cast("bigint")) + F.when(x < 0, 2048).otherwise(0)
+    h = F.concat(F.lpad(F.hex(top), 3, "0"), F.lpad(F.hex(mantissa), 13, "0"))
+    return F.concat(*[F.substring(h, k, 2) for k in range(15, 0, -2)])
+
+
+@register("""SELECT s_suppkey AS id, CAST(s_suppkey AS DOUBLE) AS x, s_nationkey - 10.5 :: DOUBLE AS y, 'POINT(' || s_suppkey || ' ' || CAST(s_nationkey - 10.5 :: DOUBLE AS VARCHAR) || ')' AS wkt,
+  '{"type":"Point","coordinates":[' || s_suppkey || ',' || CAST(s_nationkey - 10.5 :: DOUBLE AS VARCHAR) || ']}' AS geojson, CAST(NULL AS DOUBLE) AS none FROM supplier""")
 def q16_geometry(spark, sf_dir):
-    p, line = "0101000000000000000000F03F0000000000000040", "010200000002000000000000000000000000000000000000000000000000000840000000000000F03F"
-    sql = f"SELECT s_suppkey AS id, st_x('{p}') AS x, st_y('{p}') AS y, st_astext('{p}') AS wkt, st_asgeojson('{p}') AS geojson, st_x('{line}') AS none FROM supplier"
-    return _rows(spark, sf_dir, sql, "supplier").drop("bucket", "object_type", "object_id")
+    """Points of two coordinates, in the binary form that databases send, one per supplier."""
+    s = parquet_tables(spark, sf_dir, "supplier")["supplier"]
+    line = "010200000002000000000000000000000000000000000000000000000000000840000000000000F03F"
+    points = s.select("s_suppkey", F.concat(F.lit("0101000000"), _double_hex(F.col("s_suppkey").cast("double")), _double_hex(F.col("s_nationkey").cast("double") - 10.5)).alias("p"))
+    sql = f"SELECT s_suppkey AS id, st_x(p) AS x, st_y(p) AS y, st_astext(p) AS wkt, st_asgeojson(p) AS geojson, st_x('{line}') AS none FROM s"
+    return _rows(spark, sf_dir, sql, extra={"s": points}).drop("bucket", "object_type", "object_id")
 
 
 # --- requests
@@ -283,19 +302,37 @@ def _wrap(total: str) -> str:
     return f"CAST(((CAST({total} AS HUGEINT) % 4294967296 + 4294967296 + 2147483648) % 4294967296) - 2147483648 AS BIGINT)"
 
 
-_LOG = f"""st AS (SELECT *, CASE WHEN event_type <> '{GONE}' THEN event_type END AS b, row_number() OVER (ORDER BY ts, event_id) AS seq FROM events),
+_OPS = f"""st AS (SELECT *, CASE WHEN event_type <> '{GONE}' THEN event_type END AS b, row_number() OVER (ORDER BY ts, event_id) AS seq FROM events),
 h AS (SELECT *, lag(b) OVER (PARTITION BY user_id ORDER BY seq) AS pb FROM st),
 o AS (SELECT seq, 0 AS kind, b AS bucket, 'PUT' AS op, user_id, '{{"v":' || event_id || '}}' AS data FROM h WHERE b IS NOT NULL
   UNION ALL SELECT seq, 1, pb, 'REMOVE', user_id, NULL FROM h WHERE pb IS NOT NULL AND pb IS DISTINCT FROM b),
 log AS (SELECT row_number() OVER (ORDER BY seq, kind, bucket) AS op_id, bucket, op, 'users' AS object_type, CAST(user_id AS VARCHAR) AS object_id, 'users/' || user_id AS subkey, data,
-  CASE WHEN op = 'PUT' THEN {_h("'put.users.' || user_id || '.' || data")} ELSE {_h("'delete.users/' || user_id")} END AS checksum, CAST(NULL AS BIGINT) AS target_op FROM o),
-moved AS (SELECT op_id, bucket, checksum, CASE WHEN n > op_id THEN 'MOVE' ELSE op END AS op, CASE WHEN n > op_id THEN NULL ELSE object_id END AS object_id, CASE WHEN n > op_id THEN NULL ELSE data END AS data, CASE WHEN n > op_id THEN n END AS target_op
-  FROM (SELECT *, max(op_id) OVER (PARTITION BY bucket, subkey) AS n FROM log)),
-pre AS (SELECT *, min(CASE WHEN op = 'PUT' THEN op_id END) OVER (PARTITION BY bucket) AS p FROM moved),
-cut AS (SELECT *, p IS NULL OR op_id < p AS inside, sum(CASE WHEN (p IS NULL OR op_id < p) AND op <> 'CLEAR' THEN 1 ELSE 0 END) OVER (PARTITION BY bucket) AS k FROM pre),
-compacted AS (SELECT bucket, op_id, op, object_id, data, checksum, target_op FROM cut WHERE NOT (inside AND k > 1)
-  UNION ALL SELECT bucket, max(op_id), 'CLEAR', NULL, NULL, {_wrap("sum(checksum)")}, max(target_op) FROM cut WHERE inside AND k > 1 GROUP BY bucket)"""
-MID = 5000
+  CASE WHEN op = 'PUT' THEN {_h("'put.users.' || user_id || '.' || data")} ELSE {_h("'delete.users/' || user_id")} END AS checksum, CAST(NULL AS BIGINT) AS target_op FROM o)"""
+
+
+def _compaction(log: str, last: str = "") -> str:
+    """CTEs moved and compacted of a log; ``last``: appended to their names."""
+    return f"""moved{last} AS (SELECT op_id, bucket, checksum, CASE WHEN n > op_id THEN 'MOVE' ELSE op END AS op, CASE WHEN n > op_id THEN NULL ELSE object_id END AS object_id, CASE WHEN n > op_id THEN NULL ELSE data END AS data, CASE WHEN n > op_id THEN n END AS target_op
+  FROM (SELECT *, max(op_id) OVER (PARTITION BY bucket, subkey) AS n FROM {log})),
+pre{last} AS (SELECT *, min(CASE WHEN op = 'PUT' THEN op_id END) OVER (PARTITION BY bucket) AS p FROM moved{last}),
+cut{last} AS (SELECT *, p IS NULL OR op_id < p AS inside, sum(CASE WHEN (p IS NULL OR op_id < p) AND op <> 'CLEAR' THEN 1 ELSE 0 END) OVER (PARTITION BY bucket) AS k FROM pre{last}),
+compacted{last} AS (SELECT bucket, op_id, op, object_id, data, checksum, target_op FROM cut{last} WHERE NOT (inside AND k > 1)
+  UNION ALL SELECT bucket, max(op_id), 'CLEAR', NULL, NULL, {_wrap("sum(checksum)")}, max(target_op) FROM cut{last} WHERE inside AND k > 1 GROUP BY bucket)"""
+
+
+_LOG = f"{_OPS},\n{_compaction('log')}"
+#: The log with a bucket for each user.
+_USERS = f"{_OPS}, ulog AS (SELECT op_id, object_id AS bucket, op, object_type, object_id, subkey, data, checksum, target_op FROM log)"
+#: Checkpoints are shares of the last op, or of the last event.
+_MID, _MID_EVENT = "(SELECT max(op_id) // 2 FROM log)", "(SELECT max(event_id) // 2 FROM events)"
+
+
+def _middle(df: DataFrame, column: str) -> int:
+    return df.agg(F.max(column)).first()[0] // 2
+
+
+def _user_log(spark, sf_dir) -> DataFrame:
+    return event_log(spark, sf_dir).withColumn("bucket", F.col("object_id"))
 
 
 @register(f"WITH {_LOG} SELECT op, object_id, data, checksum FROM log")
@@ -308,15 +345,20 @@ def q26_checksums(spark, sf_dir):
     return checkpoint.checksums(event_log(spark, sf_dir))
 
 
-@register(f"WITH {_LOG} SELECT bucket, {_wrap('sum(checksum)')} AS checksum, count(*) AS n_ops, false AS cleared FROM log GROUP BY bucket")
+@register(f"""WITH {_USERS}, {_compaction("ulog", "_u")}, a AS (SELECT bucket, sum(checksum) AS s, count(*) AS n FROM ulog WHERE op_id <= {_MID} GROUP BY 1),
+b AS (SELECT bucket, sum(checksum) AS s, count(*) AS n, bool_or(op = 'CLEAR') AS c FROM compacted_u WHERE op_id > {_MID} GROUP BY 1)
+SELECT coalesce(a.bucket, b.bucket) AS bucket, {_wrap("(CASE WHEN c THEN 0 ELSE coalesce(a.s, 0) END + coalesce(b.s, 0))")} AS checksum, CAST(CASE WHEN c THEN 0 ELSE coalesce(a.n, 0) END + coalesce(b.n, 0) AS BIGINT) AS n_ops, coalesce(c, false) AS cleared FROM a FULL JOIN b ON a.bucket = b.bucket""")
 def q27_incremental_checksums(spark, sf_dir):
-    log = event_log(spark, sf_dir)
-    return checkpoint.add_checksums(checkpoint.checksums(log, upto=MID), checkpoint.checksums(log, after=MID))
+    """A checksum stored before a compaction, and what the compacted log has since: a CLEAR makes the stored one void."""
+    log = _user_log(spark, sf_dir)
+    mid = _middle(log, "op_id")
+    return checkpoint.add_checksums(checkpoint.checksums(log, upto=mid), checkpoint.checksums(oplog.compact(log), after=mid))
 
 
-@register(f"""SELECT lookup, source_key, id, CAST(1 AS BIGINT) AS n FROM (SELECT user_id % 10 || '' AS lookup, CAST(user_id AS VARCHAR) AS source_key, event_id AS id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events WHERE event_id <= {MID}) WHERE rn = 1 AND event_type <> '{GONE}'""")
+@register(f"""SELECT lookup, source_key, id, CAST(1 AS BIGINT) AS n FROM (SELECT user_id % 10 || '' AS lookup, CAST(user_id AS VARCHAR) AS source_key, event_id AS id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events WHERE event_id <= {_MID_EVENT}) WHERE rn = 1 AND event_type <> '{GONE}'""")
 def q28_latest_lookups(spark, sf_dir):
-    return oplog.latest_lookups(_entries(spark, sf_dir), MID).select("lookup", "source_key", "id", F.size("outputs").cast("bigint").alias("n"))
+    entries = _entries(spark, sf_dir)
+    return oplog.latest_lookups(entries, _middle(entries, "id")).select("lookup", "source_key", "id", F.size("outputs").cast("bigint").alias("n"))
 
 
 def _entries(spark, sf_dir) -> DataFrame:
@@ -326,18 +368,17 @@ def _entries(spark, sf_dir) -> DataFrame:
 
 @register(f"WITH {_LOG} SELECT op_id, bucket, op, object_type, object_id, subkey, data, checksum FROM log")
 def q29_change_apply(spark, sf_dir):
-    return event_log(spark, sf_dir).select("op_id", "bucket", "op", "object_type", "object_id", "subkey", "data", "checksum")
+    # built anew, not the log that other queries share
+    return oplog.changes_to_ops(event_states(spark, sf_dir)).select("op_id", "bucket", "op", "object_type", "object_id", "subkey", "data", "checksum")
 
 
-@register("SELECT o_orderkey AS id, o_custkey AS cust, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus ELSE 'new' END AS status, o_totalprice AS price, o_orderkey % 2 = 1 OR o_orderstatus <> 'P' AS complete FROM orders")
+@register("SELECT o_orderkey AS id, o_custkey AS cust, CASE WHEN o_orderkey % 2 = 1 THEN 'new' WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS status, o_totalprice AS price, o_orderkey % 2 = 1 OR o_orderstatus <> 'P' AS complete FROM orders")
 def q30_unchanged_columns(spark, sf_dir):
+    """Half of the changes didn't send the status; where there is no stored row either, it is missing and the row incomplete."""
     o = parquet_tables(spark, sf_dir, "orders")["orders"].select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("cust"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
     changes = o.select("id", "cust", F.when(F.col("id") % 2 == 0, F.lit(None)).otherwise("new").alias("status"), "price", F.when(F.col("id") % 2 == 0, F.array(F.lit("status"))).otherwise(F.expr("cast(array() as array<string>)")).alias("unchanged"))
     state = o.filter((F.col("status") != "P") | (F.col("id") % 2 == 1))
-    merged = oplog.merge_unchanged(changes, state, "id", ["cust", "status", "price"])
-    known = o.select(F.col("id").alias("k"), F.col("status").alias("s"))
-    # an incomplete row isn't evaluated; its status is shown as stored at the source, so that both sides have one
-    return merged.join(known, F.col("id") == F.col("k")).select("id", "cust", F.when(F.col("complete"), F.col("status")).otherwise(F.col("s")).alias("status"), "price", "complete")
+    return oplog.merge_unchanged(changes, state, "id", ["cust", "status", "price"])
 
 
 @register(f"SELECT 'c' || c_nationkey AS bucket, 'REMOVE' AS op, 'customer' AS object_type, CAST(c_custkey AS VARCHAR) AS object_id, 'customer/' || c_custkey AS subkey, CAST(NULL AS VARCHAR) AS data, {_h(chr(39) + 'delete.customer/' + chr(39) + ' || c_custkey')} AS checksum FROM customer")
@@ -363,9 +404,10 @@ def q34_reduce(spark, sf_dir):
     return oplog.reduce_log(event_log(spark, sf_dir)).select("bucket", "op_id", "op", "object_id", "data", "checksum")
 
 
-@register(f"WITH {_LOG} SELECT bucket, max(target_op) AS target_op FROM moved WHERE op_id <= {MID} GROUP BY bucket HAVING max(target_op) > {MID}")
+@register(f"WITH {_LOG} SELECT bucket, max(target_op) AS target_op FROM moved WHERE op_id <= {_MID} GROUP BY bucket HAVING max(target_op) > {_MID}")
 def q35_invalidated(spark, sf_dir):
-    return checkpoint.invalidated(oplog.compact_moves(event_log(spark, sf_dir)), MID)
+    log = event_log(spark, sf_dir)
+    return checkpoint.invalidated(oplog.compact_moves(log), _middle(log, "op_id"))
 
 
 @register(f"""SELECT lookup, source_key, id FROM (SELECT user_id % 10 || '' AS lookup, CAST(user_id AS VARCHAR) AS source_key, event_id AS id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1 AND event_type <> '{GONE}'""")
@@ -373,35 +415,38 @@ def q36_compact_parameters(spark, sf_dir):
     return oplog.compact_parameters(_entries(spark, sf_dir)).select("lookup", "source_key", "id")
 
 
-@register(f"""WITH {_LOG}, a AS (SELECT object_id AS bucket, {_wrap('sum(checksum)')} AS checksum, count(*) AS n_ops FROM log WHERE op_id <= {MID} GROUP BY 1), b AS (SELECT object_id AS bucket, {_wrap('sum(checksum)')} AS checksum, count(*) AS n_ops FROM log WHERE op_id <= {MID + 100} AND object_id <> '7' GROUP BY 1)
+@register(f"""WITH {_USERS}, a AS (SELECT bucket, {_wrap('sum(checksum)')} AS checksum, count(*) AS n_ops FROM ulog WHERE op_id <= {_MID} GROUP BY 1), b AS (SELECT bucket, {_wrap('sum(checksum)')} AS checksum, count(*) AS n_ops FROM ulog WHERE op_id <= {_MID} + {_MID} // 50 AND bucket <> '7' GROUP BY 1)
 SELECT coalesce(a.bucket, b.bucket) AS bucket, CASE WHEN b.bucket IS NULL THEN 'removed' WHEN a.bucket IS NULL THEN 'added' WHEN a.checksum = b.checksum AND a.n_ops = b.n_ops THEN 'unchanged' ELSE 'changed' END AS status, b.checksum, b.n_ops FROM a FULL JOIN b ON a.bucket = b.bucket""")
 def q37_checkpoint_diff(spark, sf_dir):
-    log = event_log(spark, sf_dir).withColumn("bucket", F.col("object_id"))  # a bucket per user
-    return checkpoint.checkpoint_diff(checkpoint.checksums(log, upto=MID), checkpoint.checksums(log.filter("bucket != '7'"), upto=MID + 100))
+    log = _user_log(spark, sf_dir)
+    mid = _middle(log, "op_id")
+    return checkpoint.checkpoint_diff(checkpoint.checksums(log, upto=mid), checkpoint.checksums(log.filter("bucket != '7'"), upto=mid + mid // 50))
 
 
-@register(f"WITH {_LOG} SELECT CAST(c_custkey AS VARCHAR) AS request_id, CAST(c_custkey AS VARCHAR) AS bucket FROM customer WHERE CAST(c_custkey AS VARCHAR) IN (SELECT object_id FROM log WHERE op_id > {MID} AND op_id <= {MID + 100})")
+@register(f"WITH {_USERS} SELECT CAST(c_custkey AS VARCHAR) AS request_id, CAST(c_custkey AS VARCHAR) AS bucket FROM customer WHERE CAST(c_custkey AS VARCHAR) IN (SELECT bucket FROM ulog WHERE op_id > {_MID} AND op_id <= {_MID} + {_MID} // 50)")
 def q38_changed_subscriptions(spark, sf_dir):
-    log = event_log(spark, sf_dir).withColumn("bucket", F.col("object_id"))
+    log = _user_log(spark, sf_dir)
+    mid = _middle(log, "op_id")
     resolved = parquet_tables(spark, sf_dir, "customer")["customer"].select(F.col("c_custkey").cast("string").alias("request_id"), F.col("c_custkey").cast("string").alias("bucket"))
-    return checkpoint.changed_subscriptions(log, resolved, MID, MID + 100)
+    return checkpoint.changed_subscriptions(log, resolved, mid, mid + mid // 50)
 
 
 @register(f"""WITH {_LOG}, w AS (SELECT DISTINCT bucket, CASE WHEN bucket < 'm' THEN 1 ELSE 2 END :: BIGINT AS priority, CASE WHEN bucket < 'm' THEN 100 ELSE 0 END AS after FROM log),
-ops AS (SELECT log.*, priority, row_number() OVER (PARTITION BY log.bucket ORDER BY op_id) AS rn, count(*) OVER (PARTITION BY log.bucket) AS n FROM log JOIN w ON w.bucket = log.bucket WHERE op_id > after AND op_id <= {MID}),
+ops AS (SELECT log.*, priority, row_number() OVER (PARTITION BY log.bucket ORDER BY op_id) AS rn, count(*) OVER (PARTITION BY log.bucket) AS n FROM log JOIN w ON w.bucket = log.bucket WHERE op_id > after AND op_id <= {_MID}),
 top AS (SELECT * FROM ops WHERE rn <= 1500 ORDER BY priority, bucket, op_id LIMIT 1500)
 SELECT priority, bucket, op_id, op, (rn - 1) // 400 AS chunk, n > max(rn) OVER (PARTITION BY bucket) AS has_more FROM top""")
 def q39_data_batch(spark, sf_dir):
     log = event_log(spark, sf_dir)
     low = F.col("bucket") < "m"
     wanted = log.select("bucket").distinct().select("bucket", F.when(low, 1).otherwise(2).cast("bigint").alias("priority"), F.when(low, 100).otherwise(0).alias("after"))
-    return checkpoint.data_batch(log, wanted, MID, limit=1500, chunk_ops=400).select("priority", "bucket", "op_id", "op", "chunk", "has_more")
+    return checkpoint.data_batch(log, wanted, _middle(log, "op_id"), limit=1500, chunk_ops=400).select("priority", "bucket", "op_id", "op", "chunk", "has_more")
 
 
-@register("SELECT CAST(user_id AS VARCHAR) AS user_id, max(event_id) AS checkpoint FROM events WHERE lpad(CAST(event_id AS VARCHAR), 10, '0') <= '0000000700' GROUP BY user_id")
+@register(f"SELECT CAST(user_id AS VARCHAR) AS user_id, max(event_id) AS checkpoint FROM events WHERE event_id <= {_MID_EVENT} GROUP BY user_id")
 def q40_write_checkpoints(spark, sf_dir):
     e = parquet_tables(spark, sf_dir, "events")["events"]
-    return checkpoint.write_checkpoints(e.select(F.col("user_id").cast("string").alias("user_id"), F.col("event_id").alias("checkpoint"), F.lpad(F.col("event_id").cast("string"), 10, "0").alias("lsn")), "0000000700")
+    writes = e.select(F.col("user_id").cast("string").alias("user_id"), F.col("event_id").alias("checkpoint"), F.lpad(F.col("event_id").cast("string"), 10, "0").alias("lsn"))
+    return checkpoint.write_checkpoints(writes, f"{_middle(e, 'event_id'):010d}")
 
 
 def _connections(spark, sf_dir) -> DataFrame:
@@ -476,9 +521,15 @@ def q46_distinct(spark, sf_dir):
     return _rows(spark, sf_dir, "SELECT DISTINCT c_custkey AS id FROM customer WHERE c_nationkey = auth.parameter('n')", "customer").select("bucket", "object_id")
 
 
+def _all() -> None:
+    from weirflow import queries_protocol  # noqa: F401  (registers its own)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _all()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(SQL)

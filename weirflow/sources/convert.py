@@ -2,30 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weirflow.functions.values import stamp_text
+
 SOURCES = ("generic", "postgres", "mysql", "mssql", "mongodb", "convex")
 #: Bookkeeping columns that aren't data.
 INTERNAL = {"mssql": ("__$",), "convex": ("_table", "_deleted", "_ts", "_component")}
 
 
-def timestamp_text(c: Column, zoned: bool, iso: bool = True, digits: int = 6) -> Column:
-    """A time stamp as text; fractions are padded or cut to ``digits``, never rounded."""
-    base = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss" if iso else "yyyy-MM-dd HH:mm:ss")
-    micros = F.date_format(c, "SSSSSS")
-    fraction = F.lit("") if digits == 0 else F.concat(F.lit("."), F.rpad(F.substring(micros, 1, min(digits, 6)), digits, "0"))
-    return F.concat(base, fraction, F.lit("Z" if zoned else ""))
-
-
 def postgres_timestamp(text: Column, zoned: bool) -> Column:
     """Text as the server sends it; infinities get the ends of the calendar, what can't be read is null."""
     end = "Z" if zoned else ""
     read = F.try_to_timestamp(text)
-    return F.when(text == "infinity", f"9999-12-31T23:59:59{end}").when(text == "-infinity", f"0000-01-01T00:00:00{end}").otherwise(timestamp_text(read, zoned))
+    return F.when(text == "infinity", f"9999-12-31T23:59:59{end}").when(text == "-infinity", f"0000-01-01T00:00:00{end}").otherwise(stamp_text(read, zoned))
 
 
 def _value(c: Column, kind: T.DataType, source: str, iso: bool, digits: int) -> Column | None:
@@ -38,9 +30,9 @@ def _value(c: Column, kind: T.DataType, source: str, iso: bool, digits: int) ->
     if isinstance(kind, T.FractionalType):
         return c.cast("double")
     if isinstance(kind, T.TimestampType):
-        return timestamp_text(c, True, iso, digits)
+        return stamp_text(c, True, iso, digits)
     if isinstance(kind, T.TimestampNTZType):
-        return timestamp_text(c, source == "mongodb", iso, digits)
+        return stamp_text(c, source == "mongodb", iso, digits)
     if isinstance(kind, T.DateType):
         return F.date_format(c, "yyyy-MM-dd")
     if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
@@ -73,7 +65,7 @@ def mongo_extended(raw: Column) -> Column:
         .when(get("$uuid").isNotNull(), get("$uuid"))
         .when(get("$numberLong").isNotNull(), get("$numberLong"))
         .when(get("$numberDecimal").isNotNull(), get("$numberDecimal"))
-        .when(date.isNotNull(), timestamp_text(F.try_to_timestamp(date), True, True, 3))
+        .when(date.isNotNull(), stamp_text(F.try_to_timestamp(date), True, True, 3))
         .otherwise(raw)
     )
 
@@ -94,13 +86,13 @@ def key_chunks(df: DataFrame, key: str, after=None, limit: int = 1000) -> DataFr
     return (df if after is None else df.filter(F.col(key) > after)).orderBy(key).limit(limit)
 
 
-def by_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    return df.join(ids.select(key).distinct(), key, "left_semi")
+def resume_key(chunk: DataFrame, key: str):
+    """Where a snapshot goes on after a chunk: its greatest key, None once it is empty."""
+    return chunk.agg(F.max(key)).first()[0]
 
 
-def changes_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 100) -> DataFrame:
-    """Change files as they arrive: lsn, seq, op (insert, update, delete, truncate), table, key, row."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def by_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    return df.join(ids.select(key).distinct(), key, "left_semi")
 
 
 def reconcile(known: dict[str, dict], found: dict[str, dict]) -> dict[str, str]:
@@ -116,5 +108,3 @@ def reconcile(known: dict[str, dict], found: dict[str, dict]) -> dict[str, str]:
             out[name] = "keep" if same else "snapshot"
     return out
 
-
-CONVERTERS: dict[str, Callable] = {s: (lambda df, s=s: convert(df, s)) for s in SOURCES}

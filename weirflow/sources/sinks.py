@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,8 +48,8 @@ def on_events(stream: DataFrame, handler: Callable[[DataFrame, int], None], chec
     return stream.writeStream.foreachBatch(handler).option("checkpointLocation", checkpoint)
 
 
-def client_schema(plan: Plan, tables: dict[str, DataFrame], language: str = "sql") -> str:
-    """Client tables of a plan. Of several kinds that a column has over the queries, text goes before real before integer."""
+def client_tables(plan: Plan, tables: dict[str, DataFrame]) -> dict[str, dict[str, str]]:
+    """Client tables of a plan: column -> text, real or integer. Of several kinds that a column has over the queries, text goes before real before integer."""
     order = [Kind.TEXT, Kind.REAL, Kind.INTEGER]
     found: dict[str, dict[str, Kind]] = {}
     for s in plan.streams:
@@ -60,9 +62,53 @@ def client_schema(plan: Plan, tables: dict[str, DataFrame], language: str = "sql
                     kind = kind if kind in order else Kind.TEXT
                     if f.name != "id":
                         columns[f.name] = min(columns.get(f.name, kind), kind, key=order.index)
-    if language == "sql":
-        return "\n".join(f"CREATE TABLE {t} (id TEXT PRIMARY KEY{''.join(f', {c} {k.name}' for c, k in cols.items())});" for t, cols in sorted(found.items()))
-    if language == "typescript":
-        of = {Kind.TEXT: "string", Kind.REAL: "number", Kind.INTEGER: "number"}
-        return "\n".join(f"export interface {t} {{ id: string;{''.join(f' {c}: {of[k]} | null;' for c, k in cols.items())} }}" for t, cols in sorted(found.items()))
-    raise ValueError(f"No generator for {language}")
+    return {t: {c: k.name.lower() for c, k in cols.items()} for t, cols in sorted(found.items())}
+
+
+def camel(name: str, first: bool = False) -> str:
+    """Words as one name; ``first``: the first letter is a capital one, too."""
+    words = [w for w in re.split(r"[^0-9A-Za-z]+", name) if w]
+    joined = "".join(w[:1].upper() + w[1:] for w in words)
+    return joined if first else joined[:1].lower() + joined[1:]
+
+
+@dataclass(frozen=True)
+class Language:
+    """How a language writes tables: text around all of them, around one, and a column; {t}, {T}: the table, {c}, {C}: the column, {k}: its type."""
+
+    start: str
+    end: str
+    between: str
+    table: str
+    table_end: str
+    column: str
+    columns_between: str
+    kinds: dict[str, str]
+
+
+_OWN = {"text": "text", "real": "real", "integer": "integer"}
+_CAPITALS = {"text": "TEXT", "real": "REAL", "integer": "INTEGER"}
+#: The formats of client schemas.
+LANGUAGES = {
+    "sql": Language("", "", "\n", "CREATE TABLE {t} (id TEXT PRIMARY KEY", ");", ", {c} {k}", "", _CAPITALS),
+    "typescript": Language("", "", "\n", "export interface {t} {{ id: string;", " }}", " {c}: {k} | null;", "", {"text": "string", "real": "number", "integer": "number"}),
+    "js": Language("", "", "\n", "const {t} = new Table({{", " }});", " {c}: column.{k}", ",", _OWN),
+    "jsLegacy": Language("new Schema([", "])", ", ", "new Table({{ name: '{t}', columns: [", "] }})", "new Column({{ name: '{c}', type: ColumnType.{k} }})", ", ", _CAPITALS),
+    "dart": Language("Schema([", "]);", ", ", "Table('{t}', [", "])", "Column.{k}('{c}')", ", ", _OWN),
+    "kotlin": Language("val schema = Schema(", ")", ", ", 'Table(name = "{t}", columns = listOf(', "))", 'Column.{k}("{c}")', ", ", _OWN),
+    "kotlin-room": Language("", "", "\n", '@Entity(tableName = "{t}") data class {T}(@PrimaryKey val id: String', ")", ', @ColumnInfo("{c}") val {C}: {k}', "", {"text": "String", "real": "Double", "integer": "Long"}),
+    "swift": Language("let schema = Schema(", ")", ", ", 'Table(name: "{t}", columns: [', "])", '.{k}("{c}")', ", ", _OWN),
+    "dotnet": Language("", "", "\n", 'public static Table {T} = new Table {{ Name = "{t}", Columns = {{', " }} }};", ' ["{c}"] = ColumnType.{k}', ",", {"text": "Text", "real": "Real", "integer": "Integer"}),
+}
+
+
+def client_schema(plan: Plan, tables: dict[str, DataFrame], language: str = "sql") -> str:
+    """Client tables of a plan, as a language writes them."""
+    if language not in LANGUAGES:
+        raise ValueError(f"No generator for {language}")
+    g = LANGUAGES[language]
+    made = []
+    for t, columns in client_tables(plan, tables).items():
+        names = {"t": t, "T": camel(t, True)}
+        made.append(g.table.format(**names) + g.columns_between.join(g.column.format(c=c, C=camel(c), k=g.kinds[k]) for c, k in columns.items()) + g.table_end.format())
+    return g.start + g.between.join(made) + g.end

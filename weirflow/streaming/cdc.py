@@ -1,7 +1,9 @@
 """Change capture as a stream: per source row, the buckets it is in are state; each change becomes PUTs and REMOVEs.
 
-State lives in the RocksDB store, keyed by the row's key, and holds only the buckets of a live row. There are no
-watermarks: order is by log position, and nothing is late.
+State lives in the RocksDB store, keyed by the row's key: its buckets and the place of its last change, for rows that are in
+a bucket, and nothing once a row is in none. A change that is read again is passed over while its row is live; after that,
+Spark's file source, which reads a file once, is what keeps old changes from coming again. There are no watermarks: order is
+by log position, and nothing is late.
 """
 
 from __future__ import annotations
@@ -44,7 +46,10 @@ class RowBuckets(StatefulProcessor):
             out += [(b, "PUT", c.object_type, c.object_id, c.subkey, d, c.seq, 0, _hash(f"put.{c.object_type}.{c.object_id}.{d}")) for b, d in now.items()]
             out += [(b, "REMOVE", c.object_type, c.object_id, c.subkey, None, c.seq, 1, _hash(f"delete.{c.subkey}")) for b in names if b not in now]
             names, last = list(now), c.seq
-        self.buckets.update((names, last))
+        if names:
+            self.buckets.update((names, last))
+        else:
+            self.buckets.clear()
         yield pd.DataFrame(out, columns=OPS.names)
 
     def close(self) -> None:
@@ -56,22 +61,45 @@ def stream_ops(states: DataFrame) -> DataFrame:
     return states.groupBy("subkey").transformWithStateInPandas(statefulProcessor=RowBuckets(), outputStructType=OPS, outputMode="Append", timeMode="None")
 
 
+def _file_system(spark, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _last_op(spark, path: str, batch_id: int) -> int:
+    """The last op id before a batch: what the latest earlier batch left beside the log."""
+    p, fs = _file_system(spark, f"{path}/_last_op")
+    if not fs.exists(p):
+        return 0
+    before = [int(f.getPath().getName()) for f in fs.listStatus(p) if f.getPath().getName().isdigit() and int(f.getPath().getName()) < batch_id]
+    if not before:
+        return 0
+    stream = fs.open(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_last_op/{max(before)}"))
+    try:
+        return int(stream.readUTF())
+    finally:
+        stream.close()
+
+
+def _keep_last_op(spark, path: str, batch_id: int, last: int) -> None:
+    p, fs = _file_system(spark, f"{path}/_last_op/{batch_id}")
+    stream = fs.create(p, True)
+    stream.writeUTF(str(last))
+    stream.close()
+    # an earlier batch isn't run again once the one after it is done
+    fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_last_op/{batch_id - 2}"), False)
+
+
 def run_into(states: DataFrame, path: str, checkpoint: str):
     """Starts a query that numbers each batch's ops after those before it and appends them to a log."""
-    from pyspark.sql import functions as F
-
     from weirflow.operators.oplog import numbered
 
     def commit(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        done = f"{path}/batch={batch_id}"
-        first = 0
-        fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-        if fs.exists(fs_path):
-            before = spark.read.schema("op_id long, batch long").parquet(path).filter(F.col("batch") < batch_id)
-            first = before.agg(F.coalesce(F.max("op_id"), F.lit(0))).first()[0]
+        first = _last_op(spark, path, batch_id)
         # a batch that is run again overwrites what it wrote
+        done = f"{path}/batch={batch_id}"
         numbered(batch, ["seq", "kind", "bucket", "subkey"], first).drop("kind").write.mode("overwrite").parquet(done)
+        _keep_last_op(spark, path, batch_id, first + spark.read.parquet(done).count())
 
     return stream_ops(states).writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint)
