@@ -214,7 +214,12 @@ def real_text(x: Column) -> Column:
     def whole(raw: Column) -> Column:
         return F.when(raw.isNull(), raw).when(raw.rlike(r"^-?0\.0$"), "0").when(raw.rlike("[a-z]"), raw).otherwise(let(parts(raw), join))
 
-    return let(x.cast("string"), whole)
+    def shortest(raw: Column) -> Column:
+        # older Java versions write some numbers with one digit more than needed
+        short = F.replace(F.format_string("%.15E", x), F.lit("E+"), F.lit("E"))
+        return F.when((F.length(raw) > 17) & (short.try_cast("double") == x), short).otherwise(raw)
+
+    return let(let(x.cast("string"), shortest), whole)
 
 
 def json_real(x: Column) -> Column:
