@@ -1,4 +1,9 @@
-"""The corpus pipeline: quality rules, line dedup, near-dedup, decontamination, BPE; each stage writes what it keeps."""
+"""The corpus pipeline: quality rules, line dedup, near-dedup, decontamination, BPE; each stage writes what it keeps.
+
+Every stage keeps the columns of its input, whatever they are called, and takes an empty table. Rows without doc_id lose no
+lines and are no one's copies, but are judged by the other stages as all rows are; null texts have no words and go with the
+first stage. Rows that share a doc_id are judged each by its own text.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +15,7 @@ from weirflow.llm.common import shuffled, table, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or leave the compression bands go."""
+    """Documents that fail the base rules or leave the compression bands go; so do null and empty texts."""
     return quality.quality_rules(docs).filter("kept").select(*docs.columns)
 
 
@@ -41,7 +46,7 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality_stage), ("line dedup", line_stage), ("near dedup", near_dedup_stage), ("decontamination", decontamination_stage), ("bpe", bpe_stage)]
 
-#: The stages can't be expressed in SQL; tests hold run() against a brute-force version.
+#: Compression, similarity and token ids can't be expressed in SQL; tests/llm/test_against_plain.py holds run() against a plain version.
 ORACLE_SQL = None
 
 
