@@ -276,3 +276,10 @@ FUNCTIONS: dict[str, tuple[Callable, int, int, frozenset[int]]] = {
     "st_x": (_geo("x_of"), 1, 1, frozenset()),
     "st_y": (_geo("y_of"), 1, 1, frozenset()),
 }
+
+
+def register_function(name: str, function: Callable[..., Val], least: int = 1, most: int | None = None, literals: tuple[int, ...] = ()) -> None:
+    """Adds a scalar function to the language: values to a value, over Spark expressions. ``literals``: places of arguments that must be literals."""
+    if name in FUNCTIONS:
+        raise ValueError(f"There is a function {name} already")
+    FUNCTIONS[name.lower()] = (function, least, least if most is None else most, frozenset(literals))

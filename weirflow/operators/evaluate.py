@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from weirflow.functions.scalar import collected
 from weirflow.functions.values import Kind, Val, as_filter, as_json, as_text, hoisting, json_string, key_value
-from weirflow.operators.expressions import Env, column, elements, with_env
+from weirflow.functions.table import TABLE_FUNCTIONS
+from weirflow.operators.expressions import Env, column, with_env
 from weirflow.plans.model import Bucket, Each, Evaluator, Lookup, Plan, Querier, Stream
 from weirflow.sources.tables import matching, scan
 
@@ -24,7 +25,7 @@ def _with(frame: DataFrame, hoisted: dict) -> DataFrame:
 
 
 def _explode(frame: DataFrame, each: Each, env: Env) -> DataFrame:
-    members = elements(as_text(env.value(each.expr)))
+    members = TABLE_FUNCTIONS[each.function](as_text(env.value(each.expr)))
     out = frame.select("*", F.explode(members).alias("__m"))
     return out.select(*[column(c) for c in frame.columns], F.col("__m.key").alias(f"{each.alias}|key"), F.col("__m.value").alias(f"{each.alias}|value"))
 

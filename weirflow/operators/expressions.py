@@ -146,14 +146,6 @@ class Env:
         return v.cond if v.cond is not None else F.when(v.is_null(), null_of("boolean")).otherwise(truthy(v))
 
 
-def elements(doc: Column) -> Column:
-    """The members of a JSON document as an array of (key, value), each JSON text; a scalar is one member without key."""
-    first = F.substring(F.ltrim(doc), 1, 1)
-    of_array = F.transform(F.from_json(doc, "array<variant>"), lambda v, i: F.struct(i.cast("string").alias("key"), F.coalesce(F.to_json(v), F.lit("null")).alias("value")))
-    of_object = F.transform(F.map_entries(F.from_json(doc, "map<string,variant>")), lambda e: F.struct(F.substring(F.to_json(F.array(e["key"])), F.lit(2), F.length(F.to_json(F.array(e["key"]))) - 2).alias("key"), F.coalesce(F.to_json(e["value"]), F.lit("null")).alias("value")))
-    return F.when(first == "[", of_array).when(first == "{", of_object).when(doc.isNotNull(), F.array(F.struct(F.lit(None).cast("string").alias("key"), doc.alias("value"))))
-
-
 def _keys(array: Val) -> Column:
     """A JSON array's elements in the text form of keys, in which equal numbers are equal; nulls are left out."""
     members = F.transform(F.from_json(as_text(array), "array<variant>"), lambda v: F.to_json(v))

@@ -20,11 +20,12 @@ class Table:
 
 @dataclass(frozen=True)
 class Each:
-    """A json_each() over an expression of one table or of the request."""
+    """A table-valued function over an expression of one table or of the request."""
 
     alias: str
     of: str
     expr: object
+    function: str = "json_each"
 
 
 @dataclass(frozen=True)

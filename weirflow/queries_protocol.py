@@ -487,3 +487,53 @@ def q89_conversions(spark, sf_dir):
     rows = o.select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").cast("double").alias("price"), F.col("o_orderdate").cast("date").alias("day"), (F.col("o_orderkey") % 2 == 0).alias("even"), F.array("o_custkey", F.lit(1).cast("bigint")).alias("pair"))
     return convert.convert(rows, "mysql")
 
+
+@register("SELECT 's[]' AS bucket, 'part' AS object_type, CAST(p_partkey AS VARCHAR) AS object_id, '{\"p_partkey\":0,\"id\":' || p_partkey || '}' AS data FROM part")
+def q90_older_star(spark, sf_dir):
+    """In older editions * leaves out names with a leading underscore, and what was selected before it stays."""
+    part = parquet_tables(spark, sf_dir, "part")["part"].select("p_partkey", F.lit(1).alias("_hidden"), F.col("p_partkey").alias("id"))
+    return bucket_rows(load({"bucket_definitions": {"s": {"data": ["SELECT 0 AS p_partkey, * FROM part"]}}}), {"part": part})
+
+
+@register("""SELECT event_id AS id, CASE event_id % 5 WHEN 0 THEN lpad(printf('%x', event_id), 24, '0') WHEN 1 THEN CAST(event_id * 1000000007 AS VARCHAR) WHEN 2 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST((epoch_us(ts) // 1000) % 1000 AS VARCHAR), 3, '0') || 'Z' WHEN 4 THEN '{"v":' || event_id || '}' END AS value FROM events""")
+def q91_extended_json(spark, sf_dir):
+    """Values as a document store's extended JSON writes them."""
+    e = parquet_tables(spark, sf_dir, "events")["events"]
+    n = F.col("event_id")
+    wrapped = lambda k, v: F.concat(F.lit('{"' + k + '":"'), v, F.lit('"}'))
+    at = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    raw = F.when(n % 5 == 0, wrapped("$oid", F.lpad(F.lower(F.hex(n)), 24, "0"))).when(n % 5 == 1, wrapped("$numberLong", (n * 1000000007).cast("string"))).when(n % 5 == 2, wrapped("$date", at)).when(n % 5 == 3, F.lit('{"$maxKey":1}')).otherwise(F.concat(F.lit('{"v":'), n.cast("string"), F.lit("}")))
+    return e.select(n.alias("id"), convert.mongo_extended(raw).alias("value"))
+
+
+@register("SELECT 's|0[' || k || ']' AS bucket, CAST(c_custkey AS VARCHAR) AS object_id FROM customer, (SELECT unnest(range(0, 3)) AS k) WHERE k < c_custkey % 4")
+def q92_own_table_function(spark, sf_dir):
+    """A table-valued function of the user's own: the numbers below its argument."""
+    from weirflow.functions.table import TABLE_FUNCTIONS, register_table_function
+
+    if "below" not in TABLE_FUNCTIONS:
+        register_table_function("below", lambda n: F.transform(F.sequence(F.lit(1), n.try_cast("int")), lambda k: F.struct(F.lit(None).cast("string").alias("key"), (k - 1).cast("string").alias("value"))))
+    c = parquet_tables(spark, sf_dir, "customer")["customer"].select("c_custkey", (F.col("c_custkey") % 4).alias("n")).filter("n > 0")
+    return _rows(spark, sf_dir, "SELECT c.c_custkey AS id FROM c, below(c.n) AS b WHERE b.value = auth.parameter('k')", extra={"c": c}).select("bucket", "object_id")
+
+
+@register("SELECT o_orderkey AS id, CAST(round(o_totalprice) AS BIGINT) % 100 AS cents FROM orders")
+def q93_own_scalar_function(spark, sf_dir):
+    """A scalar function of the user's own."""
+    from weirflow.functions.scalar import FUNCTIONS, register_function
+    from weirflow.functions.values import as_real, integer
+
+    if "last_digits" not in FUNCTIONS:
+        register_function("last_digits", lambda x: integer(F.pmod(F.round(as_real(x)).cast("bigint"), F.lit(100))))
+    return _rows(spark, sf_dir, "SELECT o_orderkey AS id, last_digits(o_totalprice) AS cents FROM orders", "orders").drop("bucket", "object_type", "object_id")
+
+
+@register("""SELECT CAST(c_custkey AS VARCHAR) AS request_id, 'g|0["' || x.v || '"]' AS bucket FROM customer, (VALUES ('F'), ('P')) x(v) WHERE c_custkey % 2 = 0""")
+def q94_alpha_overlap(spark, sf_dir):
+    """An older stream whose rows' arrays overlap with one of the request's."""
+    spec = {"config": {"edition": 2}, "streams": {"g": {"auto_subscribe": True, "query": "SELECT id FROM docs WHERE states && auth.parameter('states')"}}}
+    t = parquet_tables(spark, sf_dir, "customer")
+    docs = t["customer"].select(F.col("c_custkey").alias("id"), F.lit('["F","O"]').alias("states"))
+    states = F.when(F.col("c_custkey") % 2 == 0, F.array(F.lit("F"), F.lit("P"))).otherwise(F.expr("cast(array() as array<string>)"))
+    r = _requests(t["customer"], F.col("c_custkey"), [F.col("c_custkey").alias("sub"), states.alias("states")])
+    return resolve_buckets(load(spec), {"docs": docs}, r).select("request_id", "bucket")
