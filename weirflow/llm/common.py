@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weirflow.sources.shared import drop_written, written
+
 LOWER_ASCII = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -108,38 +105,9 @@ def _col(df: DataFrame, name: str):
     return df["`" + name.replace("`", "``") + "`"]
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one of this machine only where it is unset (tests)."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    own = getattr(sc, "_weirflow_folder", None)
-    if own is None:
-        own = sc._weirflow_folder = tempfile.mkdtemp(prefix="weirflow-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-    return own
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Writes a DataFrame as Parquet to the shared folder and reads it back: lineage ends there, a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/weirflow-{re.sub('[^a-z0-9]+', '-', label.lower())}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._weirflow_path = path
-    return out
-
-
-def drop_written(df: DataFrame) -> None:
-    """Deletes what ``written`` wrote, once nothing reads it any more."""
-    path = getattr(df, "_weirflow_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def shuffled(df: DataFrame) -> DataFrame:
     """The smaller side of a join with texts: both sides are exchanged by the key at every size, and this one is hashed, so that texts aren't sorted."""
     return df.hint("shuffle_hash")
+
+
+__all__ = ["BATCH_ROWS", "LOWER_ASCII", "WordHashes", "arrow_map", "drop_written", "mixed", "shuffled", "slices", "small_batches", "table", "words", "written"]
