@@ -118,7 +118,8 @@ class PrefixCounter:
     def prefix_dp_many(self, raws: list[bytes], width: int) -> np.ndarray:
         """prefix_dp of many pre-tokens, one step after another for all of them; a row for each, a column for each prefix."""
         rows = len(raws)
-        text = np.frombuffer(b"".join(r.ljust(width, b"\0") for r in raws), np.uint8).reshape(rows, width).astype(np.uint64) + np.uint64(1)
+        plain = np.frombuffer(b"".join(r.ljust(width, b"\0") for r in raws), np.uint8).reshape(rows, width)
+        text = plain.astype(np.uint64) + np.uint64(1)
         hashes = np.zeros((rows, width + 1), np.uint64)
         for j in range(width):
             hashes[:, j + 1] = hashes[:, j] * BASE + text[:, j]
@@ -134,6 +135,9 @@ class PrefixCounter:
                 some = np.flatnonzero(t >= 0)
                 if len(some):
                     r, t = todo[some], t[some]
+                    # a hash only proposes a token
+                    same = (plain[r, start:end] == self.spelled[t, : end - start]).all(1)
+                    r, t = r[same], t[same]
                     fine = self.fits.many(last[r, start], t) if start else self.whole[t]
                     r, t = r[fine], t[fine]
                     last[r, end], count[r, end] = t, count[r, start] + 1
@@ -144,7 +148,19 @@ class PrefixCounter:
     def names(self) -> HashTable:
         """Token ids, with their lengths, by the hash of their bytes."""
         tokens = [(t, i) for t, i in self.vocab.ids.items() if len(t) <= 48]
-        return HashTable(np.array([_hash(t) for t, _ in tokens], np.uint64), np.array([(len(t) << 32) | i for t, i in tokens], np.int64))
+        hashes = np.array([_hash(t) for t, _ in tokens], np.uint64)
+        if len(np.unique(hashes)) < len(hashes):
+            raise ValueError("Two tokens of this vocabulary share a hash")
+        return HashTable(hashes, np.array([(len(t) << 32) | i for t, i in tokens], np.int64))
+
+    @cached_property
+    def spelled(self) -> np.ndarray:
+        """The bytes of each token of up to 48, by id."""
+        out = np.zeros((max(self.vocab.ids.values()) + 1, 48), np.uint8)
+        for t, i in self.vocab.ids.items():
+            if len(t) <= 48:
+                out[i, : len(t)] = np.frombuffer(t, np.uint8)
+        return out
 
     @cached_property
     def whole(self) -> np.ndarray:
