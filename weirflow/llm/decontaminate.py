@@ -24,12 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import LOWER_ASCII, WordHashes, _col, mixed, shuffled, slices, small_batches, written
+from weirflow.llm.common import LOWER_ASCII, _col, drop_written, mixed, shuffled, slices, small_batches, written
 
 #: Bytes that belong to no word become spaces; A-Z become a-z; bytes from 0x80 on are word bytes.
 WORD_BYTES = bytes((b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20) for b in LOWER_ASCII)
-#: The same words as a pattern, for counts.
-WORD_PATTERN = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 
 
 def plain_words(text: str | None) -> list[bytes]:
@@ -38,15 +36,46 @@ def plain_words(text: str | None) -> list[bytes]:
 
 
 class RunHashes:
-    """64-bit hashes of all runs of some numbers of words."""
+    """64-bit hashes of the words of texts, and of all runs of some numbers of words."""
+
+    BLOCK = 1 << 20
+    BASE = 0x9E3779B97F4A7C15
 
     def __init__(self, longest: int):
         rng = np.random.default_rng(20240301)
         self.places = rng.integers(1, 1 << 63, longest, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.known = WordHashes()
-
-    def words(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
+        self._powers(self.BLOCK + 1024)
+
+    def _powers(self, n: int) -> None:
+        """Powers of an odd number, and of its inverse, modulo 2^64."""
+        for name, base in (("up", self.BASE), ("down", pow(self.BASE, -1, 1 << 64))):
+            steps = np.full(n, base, np.uint64)
+            steps[0] = 1
+            setattr(self, name, np.multiply.accumulate(steps))
+
+    def words(self, raws: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of texts whose words are divided by spaces: all of them in one, where words begin and end in it, their hashes, and where each text's words begin."""
+        whole = b" ".join(raws)
+        starts, ends, hashes, a = [], [], [], 0
+        while a < len(whole):
+            # block by block, each up to a space; a longer word makes a longer block
+            b = len(whole) if a + self.BLOCK >= len(whole) else whole.find(b" ", a + self.BLOCK)
+            b = len(whole) if b < 0 else b
+            letters = np.frombuffer(whole, np.uint8, b - a, a)
+            if b - a > len(self.up):
+                self._powers(b - a)
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], (letters != 0x20).view(np.int8), [0]])))
+            first, last = edges[::2], edges[1::2]
+            sums = np.zeros(b - a + 1, np.uint64)
+            np.cumsum((letters.astype(np.uint64) + np.uint64(1)) * self.up[: b - a], out=sums[1:])
+            hashes.append(mixed((sums[last] - sums[first]) * self.down[np.minimum(first, max(b - a - 1, 0))] + (last - first).astype(np.uint64)))
+            starts.append(first + a)
+            ends.append(last + a)
+            a = b
+        none = np.zeros(0, np.int64)
+        starts, ends = np.concatenate([none, *starts]), np.concatenate([none, *ends])
+        places = np.cumsum([0, *(len(r) + 1 for r in raws)])
+        return whole, starts, ends, np.concatenate([np.zeros(0, np.uint64), *hashes]), np.searchsorted(starts, places)
 
     def runs(self, hashes: np.ndarray, size: int) -> np.ndarray:
         n = len(hashes) - size + 1
@@ -58,6 +87,10 @@ class RunHashes:
         return mixed(out)
 
 
+def word_bytes(text: str | None) -> bytes:
+    return text.encode("utf-8", "surrogatepass").translate(WORD_BYTES) if text else b""
+
+
 class Bits:
     """A Bloom filter of one hash and a fixed number of bits."""
 
@@ -90,7 +123,7 @@ def item_windows(benchmark: DataFrame, item_id: str, text: str, window: int, shi
                     words = plain_words(t)
                     if not words:
                         continue
-                    h, n = hashes.words(words), min(window, len(words))
+                    h, n = hashes.words([word_bytes(t)])[3], min(window, len(words))
                     k = min(shingle, n)
                     whole, parts = hashes.runs(h, n).view(np.int64), hashes.runs(h, k).view(np.int64)
                     for at in range(0, len(whole), 5000):
@@ -104,6 +137,12 @@ def item_windows(benchmark: DataFrame, item_id: str, text: str, window: int, shi
     return source.mapInArrow(cut, "item string, n int, hash long, words binary, shingles array<long>")
 
 
+def _inside(of: np.ndarray, size: int) -> np.ndarray:
+    """Which runs lie in one text; ``of``: each word's text."""
+    n = len(of) - size + 1
+    return of[:n] == of[size - 1 :] if n > 0 else np.zeros(0, bool)
+
+
 def _counted(docs: DataFrame, text: str, sizes: list[int], longest: int, bits: Bits) -> DataFrame:
     """How often each shingle that may be a window's occurs in the corpus: (shingle, times)."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
@@ -112,12 +151,12 @@ def _counted(docs: DataFrame, text: str, sizes: list[int], longest: int, bits: B
         hashes, bits = RunHashes(longest), shared.value
         for batch in batches:
             for b in slices(batch, [0]):
+                _, _, _, h, begin = hashes.words([word_bytes(t) for t in b.column(0).to_pylist()])
+                of = np.repeat(np.arange(b.num_rows), np.diff(begin))
                 found = [np.zeros(0, np.uint64)]
-                for t in b.column(0).to_pylist():
-                    h = hashes.words(plain_words(t))
-                    for k in sizes:
-                        runs = hashes.runs(h, k)
-                        found.append(runs[bits.has(runs)])
+                for k in sizes:
+                    runs = hashes.runs(h, k)
+                    found.append(runs[bits.has(runs) & _inside(of, k)])
                 each, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(each.view(np.int64)), pa.array(n)], names=["shingle", "times"])
 
@@ -125,7 +164,10 @@ def _counted(docs: DataFrame, text: str, sizes: list[int], longest: int, bits: B
 
 
 def _candidates(docs: DataFrame, text: str, shapes: list[tuple[int, int]], longest: int, bits: Bits) -> DataFrame:
-    """Where windows would stand whose rarest shingle a document may hold: (text_h1, text_h2, start, n, at, shingle, hash, words)."""
+    """Where windows would stand whose rarest shingle a document may hold: (text_h1, text_h2, start, n, at, shingle, hash, words).
+
+    Besides, a row for each document with n = 0, whose start is its number of words.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(bits)
     schema = pa.schema([("text_h1", pa.int64()), ("text_h2", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("at", pa.int32()), ("shingle", pa.int64()), ("hash", pa.int64()), ("words", pa.binary())])
 
@@ -133,28 +175,30 @@ def _candidates(docs: DataFrame, text: str, shapes: list[tuple[int, int]], longe
         hashes, bits = RunHashes(longest), shared.value
         for batch in batches:
             for b in slices(batch, [2]):
-                for h1, h2, t in zip(*(b.column(i).to_pylist() for i in range(3))):
-                    words = plain_words(t)
-                    h = hashes.words(words)
-                    for n, k in shapes:
-                        runs = hashes.runs(h, k)
-                        some = np.flatnonzero(bits.has(runs))
-                        if not len(some) or len(words) < n:
-                            continue
-                        whole = hashes.runs(h, n)
-                        # every place that the shingle can have in a window, if the window fits into the document
-                        at = np.tile(np.arange(n - k + 1), len(some))
-                        place = np.repeat(some, n - k + 1)
-                        fits = (place - at >= 0) & (place - at + n <= len(words))
-                        at, place = at[fits], place[fits]
-                        for j in range(0, len(at), 5000):
-                            a, p = at[j : j + 5000], place[j : j + 5000]
-                            s = p - a
-                            rows = len(a)
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.array(np.full(rows, h1, np.int64)), pa.array(np.full(rows, h2, np.int64)), pa.array(s), pa.array(np.full(rows, n, np.int32)), pa.array(a.astype(np.int32)), pa.array(runs[p].view(np.int64)), pa.array(whole[s].view(np.int64)), pa.array([b" ".join(words[i : i + n]) for i in s.tolist()], pa.binary())],
-                                schema=schema,
-                            )
+                whole, first, last, h, begin = hashes.words([word_bytes(t) for t in b.column(2).to_pylist()])
+                sizes = np.diff(begin)
+                none = [pa.nulls(b.num_rows, f.type) for f in list(schema)[4:]]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes), pa.array(np.zeros(b.num_rows, np.int32)), *none], schema=schema)
+                of = np.repeat(np.arange(b.num_rows), sizes)
+                h1, h2 = b.column(0).to_numpy(), b.column(1).to_numpy()
+                for n, k in shapes:
+                    runs = hashes.runs(h, k)
+                    some = np.flatnonzero(bits.has(runs) & _inside(of, k))
+                    if not len(some):
+                        continue
+                    windows = hashes.runs(h, n)
+                    # every place that the shingle can have in a window, if the window fits into the document
+                    for j in range(0, len(some), 2000):
+                        part = some[j : j + 2000]
+                        at, place = np.tile(np.arange(n - k + 1), len(part)), np.repeat(part, n - k + 1)
+                        start, doc = place - at, of[place]
+                        fits = (start >= begin[doc]) & (start + n <= begin[doc + 1])
+                        at, place, start, doc = at[fits], place[fits], start[fits], doc[fits]
+                        words = [b" ".join(whole[x:y].split()) for x, y in zip(first[start].tolist(), last[start + n - 1].tolist())]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(h1[doc]), pa.array(h2[doc]), pa.array(start - begin[doc]), pa.array(np.full(len(at), n, np.int32)), pa.array(at.astype(np.int32)), pa.array(runs[place].view(np.int64)), pa.array(windows[start].view(np.int64)), pa.array(words, pa.binary())],
+                            schema=schema,
+                        )
 
     source = docs.select(*_text_key(docs, text), _col(docs, text).alias("text"))
     return source.mapInArrow(find, "text_h1 long, text_h2 long, start long, n int, at int, shingle long, hash long, words binary")
@@ -181,9 +225,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
     rarity = parts.join(shuffled(counts), "shingle", "left").select("hash", "n", "words", F.struct(F.coalesce("times", F.lit(0)).alias("times"), "shingle", "at").alias("s"))
     # each window is found by its rarest shingle; of equally rare ones, by the smaller hash
     prefixes = written(rarity.groupBy("hash", "n", "words").agg(F.min("s").alias("s")).select("hash", "n", "words", "s.shingle", "s.at"), "prefixes")
-    places = _candidates(docs, text, shapes, window, Bits.of(prefixes, "shingle", filter_bits))
+    places = written(_candidates(docs, text, shapes, window, Bits.of(prefixes, "shingle", filter_bits)), "candidates")
     own = ["shingle", "at", "n", "hash", "words"]
-    hits = written(places.join(shuffled(prefixes), own).select("text_h1", "text_h2", "start", "n", "hash", "words").distinct(), "hits")
+    hits = written(places.filter("n > 0").join(shuffled(prefixes), own).select("text_h1", "text_h2", "start", "n", "hash", "words").distinct(), "hits")
 
     key = ["text_h1", "text_h2"]
     by_place = Window.partitionBy(*key).orderBy("start", "n")
@@ -192,17 +236,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
     merged = merged.groupBy(*key, "run").agg(F.min("start").alias("a"), F.max("end").alias("b")).groupBy(*key).agg(F.sum(F.col("b") - F.col("a")).alias("n_hit"), F.sort_array(F.collect_list(F.struct("a", "b"))).alias("hits"))
     named = found.filter("item is not null").select("hash", "n", "words", "item").distinct()
     items = hits.select(*key, "hash", "n", "words").distinct().join(named, ["hash", "n", "words"]).groupBy(*key).agg(F.sort_array(F.collect_set("item")).alias("items"))
-    side = written(merged.join(items, key, "left").select(F.col("text_h1").alias("f1"), F.col("text_h2").alias("f2"), "n_hit", "hits", "items"), "contaminated")
+    sizes = places.filter("n = 0").groupBy(*key).agg(F.first("start").alias("size"))
+    side = sizes.join(merged, key, "left").join(items, key, "left").select(F.col("text_h1").alias("f1"), F.col("text_h2").alias("f2"), "size", "n_hit", "hits", "items")
+    side = written(side, "contaminated")
+    for old in (places, prefixes, windows, found, hits):
+        drop_written(old)
 
     # by position, so that no name of the input clashes
     added = ["n_words", "n_hit", "n_items", "items", "hits"]
-    words = F.coalesce(F.regexp_count(_col(docs, text), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
-    rows = docs.select(*[_col(docs, c).alias(f"c{i}") for i, c in enumerate(keep)], *_text_key(docs, text), words.alias("n_words"))
+    rows = docs.select(*[_col(docs, c).alias(f"c{i}") for i, c in enumerate(keep)], *_text_key(docs, text))
     rows = rows.join(shuffled(side), (F.col("text_h1") == F.col("f1")) & (F.col("text_h2") == F.col("f2")), "left")
     items_of = F.coalesce("items", F.array().cast("array<string>"))
     return rows.select(
         *[F.col(f"c{i}").alias(c) for i, c in enumerate(keep) if c not in added],
-        "n_words",
+        F.coalesce("size", F.lit(0)).cast("long").alias("n_words"),
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.size(items_of).cast("long").alias("n_items"),
         items_of.alias("items"),
