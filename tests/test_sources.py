@@ -36,6 +36,37 @@ def test_reconcile():
     assert convert.reconcile({"x": a, "y": a, "z": a}, {"x": a, "y": b, "w": a}) == {"w": "snapshot", "x": "keep", "y": "snapshot", "z": "drop"}
 
 
+def test_reconcile_renamed_and_replaced_tables():
+    a = {"relation_id": 1, "replica_id_columns": ["id"]}
+    # a renamed table is another one; so is one with another identity, or another key, under the old name
+    assert convert.reconcile({"old": a}, {"new": a}) == {"old": "drop", "new": "snapshot"}
+    assert convert.reconcile({"t": a}, {"t": {"relation_id": 1, "replica_id_columns": ["id", "part"]}}) == {"t": "snapshot"}
+    assert convert.reconcile({}, {}) == {}
+
+
+def test_changes_arrive_as_files(spark, tmp_path):
+    from weirflow.sources import changes
+
+    rows = [("users", 1, "a", False, 7), ("users", 2, "a", True, None), ("users", 3, None, False, 8)]
+    df = spark.createDataFrame(rows, "_table string, _ts long, _id string, _deleted boolean, n int")
+    df.write.parquet(str(tmp_path / "in"))
+    stream = changes.changes_stream(spark, "convex", str(tmp_path / "in"), df.schema)
+    q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    got = sorted((r.kind, r.key, r.row and r.row.n) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [("delete", "a", None), ("update", "a", 7)]  # a document without _id is passed over
+    with __import__("pytest").raises(ValueError):
+        changes.register_source("convex", changes.convex_changes)
+
+
+def test_keys_of_several_columns(spark):
+    from weirflow.sources import changes
+
+    df = spark.createDataFrame([("1/1", 1, "update", "t", (1, "x"), (2, "x"), None), ("1/2", 1, "delete", "t", (2, "x"), None, None)], "lsn string, place int, tag string, relation string, before struct<a:int,b:string>, after struct<a:int,b:string>, unchanged array<string>")
+    got = [(r.kind, r.key) for r in changes.keyed(changes.postgres_changes(df, ["a", "b"])).orderBy("seq").collect()]
+    assert got == [("delete", '["1","x"]'), ("update", '["2","x"]'), ("delete", '["2","x"]')]
+
+
 def test_log_sink(spark, tmp_path):
     from weirflow.operators.oplog import LOG_SCHEMA
 
