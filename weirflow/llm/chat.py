@@ -44,7 +44,8 @@ def format_chats(turns: DataFrame, learned_roles: tuple[str, ...] = ("assistant"
     """From rows (conv_id, turn, role, text) to one row (conv_id, formatted, segments) per conversation.
 
     ``segments``: array of (text, loss), whose texts joined are ``formatted``; loss marks the texts of ``learned_roles``
-    and nothing of the template. Columns besides the four are ignored. An empty table gives an empty table.
+    and nothing of the template. Columns besides the four are ignored. Rows without conv_id are one conversation, repeated rows
+    stay, and an empty table gives an empty table.
     """
     sorted_turns = turns.groupBy("conv_id").agg(
         F.sort_array(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))).alias("turns")
