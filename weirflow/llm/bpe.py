@@ -337,11 +337,12 @@ class StreamEncoder:
     """The transducer: text in pieces of any size to ids. It holds ``WINDOW`` characters, the lookahead and one piece at most."""
 
     WINDOW = 1 << 13  # characters; 32 at least, so that an open pre-token is no contraction
+    MEMO = 250_000  # entries of either memo, and as many old ones
 
     def __init__(self, vocab: Vocabulary):
         self.vocab, self.held, self.open = vocab, "", None
-        self.pretokens = TwoAges(lambda t: packed(vocab.merge(t.encode("utf-8", "surrogatepass"))))
-        self.pieces = TwoAges(lambda piece: self._plain(" " + piece))
+        self.pretokens = TwoAges(lambda t: packed(vocab.merge(t.encode("utf-8", "surrogatepass"))), self.MEMO)
+        self.pieces = TwoAges(lambda piece: self._plain(" " + piece), self.MEMO)
 
     def warm(self, texts: list[str | None]) -> None:
         """Fills the memos for some texts, which is faster side by side than one by one; results don't depend on it."""
