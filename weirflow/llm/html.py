@@ -365,14 +365,25 @@ def host_of(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
+#: A host with so large a share of all pages is dealt into so many parts; at most 1 / HOT hosts are.
+HOT, PARTS = 0.001, 64
+
+
 def main_text(pages: DataFrame, url: str = "url", html: str = "html", keep: list[str] | None = None) -> DataFrame:
     """Adds ``text`` and ``n_chars`` (code points) to every page, taken from the article's slots of its host's template."""
     keep = pages.columns if keep is None else keep
     furniture_of = F.transform(F.filter("slots", lambda s: s["furniture"]), lambda s: s["path"])
-    found = written(templates(pages, url, html).select(F.col("host").alias("__host"), F.to_json(F.struct("root", furniture_of.alias("furniture"), "texts")).alias("__template")), "templates")
+    found = templates(pages, url, html).select(F.col("host").alias("__host"), F.to_json(F.struct("root", furniture_of.alias("furniture"), "texts")).alias("__template"))
+    # the pages of a hot host meet its template in many tasks; the list of such hosts is short by what makes a host hot
+    hosts = written(pages.groupBy(host_of(_col(pages, url)).alias("hot")).agg(F.count("*").alias("n")), "hosts")
+    total = hosts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = F.broadcast(hosts.filter(F.col("n") >= HOT * total).select("hot", F.lit(PARTS).alias("parts")))
+    parts = F.coalesce("parts", F.lit(1))
+    found = written(found.join(hot, F.col("__host") == F.col("hot"), "left").select("__host", "__template", F.explode(F.sequence(F.lit(0), parts - 1)).alias("__part")), "templates")
     # by position, so that no name of the input clashes
     named = pages.select(*[_col(pages, c).alias(f"c{i}") for i, c in enumerate(keep)], _col(pages, html).alias("html"), host_of(_col(pages, url)).alias("of"))
-    joined = named.join(shuffled(found), F.col("of") == F.col("__host"), "left")
+    dealt = named.join(hot, F.col("of") == F.col("hot"), "left").withColumn("part", F.pmod(F.xxhash64("html", *[f"c{i}" for i, c in enumerate(keep) if named.schema[f"c{i}"].dataType.typeName() in ("string", "long", "integer")]), parts).cast("int"))
+    joined = dealt.join(shuffled(found), (F.col("of") == F.col("__host")) & (F.col("part") == F.col("__part")), "left")
 
     def extract(texts, chosen):
         out = [article(t, c) for t, c in zip(texts, chosen)]
