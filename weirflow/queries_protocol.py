@@ -352,7 +352,7 @@ def q72_commits(spark, sf_dir):
     return checkpoint.commits(attempts).select("stream", "at", "checkpoint", "resume_lsn")
 
 
-@register("SELECT event_type AS stream, epoch_us(TIMESTAMP '2024-02-01') / 1e6 - epoch_us(min(ts)) / 1e6 AS seconds FROM events GROUP BY event_type")
+@register("SELECT event_type AS stream, (epoch_us(TIMESTAMP '2024-02-01') - epoch_us(min(ts))) / 1e6 AS seconds FROM events GROUP BY event_type")
 def q73_replication_lag(spark, sf_dir):
     e = parquet_tables(spark, sf_dir, "events")["events"].select(F.col("event_type").alias("stream"), F.timestamp_micros(F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', ts)")).alias("changed_at"))
     return checkpoint.replication_lag(e, F.timestamp_micros(F.lit(1_706_745_600_000_000)))
@@ -380,7 +380,7 @@ def q76_unpacked_documents(spark, sf_dir):
 
 
 @register("""WITH n AS (SELECT event_id, strlen(props) AS size, row_number() OVER (ORDER BY ts, event_id) AS n FROM events), g AS (SELECT *, (n - 1) // 300 AS stretch FROM n)
-SELECT event_id, stretch, (sum(size) OVER (PARTITION BY stretch ORDER BY n) - size) // 1000 AS part FROM g""")
+SELECT event_id, stretch, CAST((sum(size) OVER (PARTITION BY stretch ORDER BY n) - size) // 1000 AS BIGINT) AS part FROM g""")
 def q77_flush_groups(spark, sf_dir):
     e = parquet_tables(spark, sf_dir, "events")["events"].select("event_id", "ts", "props")
     return oplog.flush_groups(e, ["ts", "event_id"], F.octet_length("props"), max_rows=300, max_bytes=1000).select("event_id", "flush.stretch", "flush.part")
