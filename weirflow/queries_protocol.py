@@ -537,3 +537,47 @@ def q94_alpha_overlap(spark, sf_dir):
     states = F.when(F.col("c_custkey") % 2 == 0, F.array(F.lit("F"), F.lit("P"))).otherwise(F.expr("cast(array() as array<string>)"))
     r = _requests(t["customer"], F.col("c_custkey"), [F.col("c_custkey").alias("sub"), states.alias("states")])
     return resolve_buckets(load(spec), {"docs": docs}, r).select("request_id", "bucket")
+
+
+@register("SELECT CAST(c_custkey AS VARCHAR) AS request_id, 'by[' || (c_custkey % 4) || ']' AS bucket FROM customer")
+def q95_client_parameters(spark, sf_dir):
+    """The older name of what a client itself sends."""
+    spec = {"bucket_definitions": {"by": {"parameters": ["SELECT user_parameters.k AS k"], "data": ["SELECT s_suppkey AS id FROM supplier WHERE s_nationkey = bucket.k"]}}}
+    t = parquet_tables(spark, sf_dir, "customer", "supplier")
+    r = _requests(t["customer"], F.col("c_custkey"), [F.col("c_custkey").alias("sub")], connection=[(F.col("c_custkey") % 4).alias("k")])
+    return resolve_buckets(load(spec), t, r).select("request_id", "bucket")
+
+
+@register(f"""WITH {_OPS}, z AS (SELECT *, coalesce(strlen(data), 0) AS size, row_number() OVER (PARTITION BY bucket ORDER BY op_id) AS rn FROM log), p AS (SELECT *, sum(size) OVER (PARTITION BY bucket ORDER BY op_id) - size AS before FROM z)
+SELECT bucket, op_id, CAST(greatest((rn - 1) // 1000, before // 700) AS BIGINT) AS chunk FROM p""")
+def q96_chunks_by_bytes(spark, sf_dir):
+    """A batch of all ops, in chunks of up to 700 bytes of data."""
+    log = event_log(spark, sf_dir)
+    n = log.count()
+    wanted = log.select("bucket").distinct().select("bucket", F.lit(1).alias("priority"), F.lit(0).alias("after"))
+    return checkpoint.data_batch(log, wanted, n, limit=n, chunk_ops=1000, chunk_bytes=700).select("bucket", "op_id", "chunk")
+
+
+@register("SELECT event_id AS id, 2 + event_id * 3 - 1 AS a, (2 + event_id) * 3 - 1 AS b, event_id % 2 = 0 OR event_id % 3 = 0 AND event_id % 5 = 0 AS c, '1' || (event_id + 1) AS d FROM events")
+def q97_precedence(spark, sf_dir):
+    sql = "SELECT event_id AS id, 2 + event_id * 3 - 1 AS a, (2 + event_id) * 3 - 1 AS b, event_id % 2 = 0 OR event_id % 3 = 0 AND event_id % 5 = 0 AS c, '1' || (event_id + 1) AS d FROM events"
+    return _rows(spark, sf_dir, sql, "events", semantics="sqlite").drop("bucket", "object_type", "object_id").withColumn("c", F.col("c") == 1)
+
+
+@register("SELECT 's|0[' || n_regionkey || ']' AS bucket, 'n' AS object_type, CAST(n_nationkey AS VARCHAR) AS object_id, n_nationkey, n_name, n_regionkey, n_nationkey AS id FROM nation")
+def q98_table_star(spark, sf_dir):
+    """All columns of one table of several, and a plus that changes nothing."""
+    t = parquet_tables(spark, sf_dir, "nation")["nation"]
+    typed = t.select(F.col("n_nationkey").cast("bigint").alias("n_nationkey"), "n_name", F.col("n_regionkey").cast("bigint").alias("n_regionkey"))
+    sql = "SELECT n.*, +n.n_nationkey AS id FROM nation AS n, region r WHERE n.n_regionkey = r.r_regionkey AND r.r_name = auth.parameter('r')"
+    return _rows(spark, sf_dir, sql, "region", extra={"nation": typed})
+
+
+@register("SELECT 's|0|0|0' AS lookup, '[' || p_size || ']' AS key, CAST(count(*) AS BIGINT) AS n FROM part WHERE p_size > 10 GROUP BY p_size")
+def q99_whole_reals_in_keys(spark, sf_dir):
+    """A real without a fraction is looked up like the integer of the same value."""
+    from weirflow.operators.evaluate import lookup_rows
+
+    part = parquet_tables(spark, sf_dir, "part")["part"].select("p_partkey", F.col("p_size").cast("double").alias("size"))
+    s = compile_stream("s", ["SELECT l.l_orderkey AS id FROM lineitem l, part p WHERE l.l_partkey = p.p_partkey AND p.size = auth.parameter('size') AND p.size > 10"])
+    return lookup_rows(Plan(3, [s]), {"part": part}).groupBy("lookup", "key").agg(F.count("*").alias("n"))
