@@ -564,7 +564,7 @@ def q97_precedence(spark, sf_dir):
     return _rows(spark, sf_dir, sql, "events", semantics="sqlite").drop("bucket", "object_type", "object_id").withColumn("c", F.col("c") == 1)
 
 
-@register("SELECT 's|0[' || n_regionkey || ']' AS bucket, 'n' AS object_type, CAST(n_nationkey AS VARCHAR) AS object_id, n_nationkey, n_name, n_regionkey, n_nationkey AS id FROM nation")
+@register("SELECT 's|0[' || n_regionkey || ']' AS bucket, 'n' AS object_type, CAST(n_nationkey AS VARCHAR) AS object_id, CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey, CAST(n_nationkey AS BIGINT) AS id FROM nation")
 def q98_table_star(spark, sf_dir):
     """All columns of one table of several, and a plus that changes nothing."""
     t = parquet_tables(spark, sf_dir, "nation")["nation"]
