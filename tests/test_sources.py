@@ -65,6 +65,19 @@ def test_keys_of_several_columns(spark):
     assert got == [("delete", '["1","x"]'), ("update", '["2","x"]'), ("delete", '["2","x"]')]
 
 
+def test_rows_of_one_place_in_the_log(spark):
+    """Changes of several rows at one place are changes of their own; images of updates are paired by key, then what is left of them."""
+    from weirflow.sources import changes
+
+    rows = [(1, 2, "a", 1), (1, 2, "b", 2), (1, 1, "c", 0), (1, 1, "d", 0)]
+    rows += [(2, 3, "a", 1), (2, 4, "a", 3), (2, 3, "b", 2), (2, 4, "b", 4), (2, 3, "x", 5), (2, 4, "y", 6), (3, 4, "z", 7), (4, 3, "w", 8)]
+    df = spark.createDataFrame(rows, "at int, op int, k string, v int").selectExpr("unhex(lpad(hex(at), 20, '0')) AS `__$start_lsn`", "unhex('00') AS `__$seqval`", "op AS `__$operation`", "k", "v")
+    got = sorted((r.seq[19:20], r.kind, r.key, r.old_key, r.row and r.row.v) for r in changes.mssql_changes(df, ["k"], "t").collect())
+    want = [("1", "delete", "c", None, None), ("1", "delete", "d", None, None), ("1", "insert", "a", None, 1), ("1", "insert", "b", None, 2)]
+    want += [("2", "update", "a", None, 3), ("2", "update", "b", None, 4), ("2", "update", "y", "x", 6), ("3", "update", "z", None, 7), ("4", "update", "w", None, 8)]
+    assert got == want
+
+
 def test_log_sink(spark, tmp_path):
     from weirflow.operators.oplog import LOG_SCHEMA
 

@@ -84,17 +84,27 @@ def mongodb_changes(events: DataFrame) -> DataFrame:
 def mssql_changes(events: DataFrame, key: list[str], table: str) -> DataFrame:
     """Rows of a change table: __$start_lsn, __$seqval (binary), __$operation (1 delete, 2 insert, 3 before an update, 4 after it), the row's columns.
 
-    The two images of an update share their place in the log and are paired there.
+    Rows of one place in the log are told apart by their keys. The two images of an update are those of one key; where an
+    update changed the key, images at its place that find no other one of their key are paired in the order of keys.
     """
     data = [f.name for f in events.schema.fields if not f.name.startswith("__$")]
     row = F.struct(*[F.col("`" + c.replace("`", "``") + "`").alias(c) for c in data])
     seq = F.concat(F.hex("__$start_lsn"), F.lit(":"), F.hex("__$seqval"))
     op = F.col("__$operation")
-    paired = events.select(seq.alias("seq"), op.alias("op"), row.alias("r")).groupBy("seq", F.when(F.col("op").isin(3, 4), "update").when(F.col("op") == 2, "insert").otherwise("delete").alias("kind"))
-    made = paired.agg(F.max_by("r", "op").alias("last"), F.min_by("r", "op").alias("first"))
-    after, before = key_text(F.col("last"), key), key_text(F.col("first"), key)
-    old = F.when((F.col("kind") == "update") & (before != after), before)
-    return _change(made, F.lit(table), F.col("seq"), F.col("kind"), after, old, F.when(F.col("kind") != "delete", F.col("last")), F.expr(NONE_UNCHANGED))
+    image = F.struct(op.alias("op"), key_text(row, key).alias("key"), row.alias("r"))
+    kind = F.when(F.col("i.op").isin(3, 4), "update").when(F.col("i.op") == 2, "insert").otherwise("delete")
+    placed = events.select(seq.alias("seq"), image.alias("i")).groupBy("seq", kind.alias("kind")).agg(F.collect_list("i").alias("images"))
+    first, last = F.filter("images", lambda i: i["op"] == 3), F.filter("images", lambda i: i["op"] != 3)
+    sides = placed.select("seq", "kind", first.alias("first"), last.alias("last"))
+    # keys of images that find no other one
+    lone = sides.select("*", *[F.array_sort(F.array_except(F.transform(a, lambda i: i["key"]), F.transform(b, lambda i: i["key"]))).alias(n) for a, b, n in (("first", "last", "gone"), ("last", "first", "come"))])
+    # a first image that is alone for good stands for its row as it is
+    rest = F.when(F.size("gone") > F.size("come"), F.slice("gone", F.size("come") + 1, F.size("gone"))).otherwise(F.slice("gone", 1, 0))
+    every = F.when(F.size("gone") > F.size("come"), F.concat("last", F.filter("first", lambda i: F.array_contains(rest, i["key"])))).otherwise(F.col("last"))
+    made = lone.select("seq", "kind", "gone", "come", F.explode(every).alias("i"))
+    at = F.array_position("come", F.col("i.key"))
+    before = F.when((F.size("gone") > 0) & (F.col("kind") == "update") & (F.col("i.op") == 4) & (at > 0), F.try_element_at("gone", at.cast("int")))
+    return _change(made, F.lit(table), F.col("seq"), F.col("kind"), F.col("i.key"), before, F.when(F.col("kind") != "delete", F.col("i.r")), F.expr(NONE_UNCHANGED))
 
 
 def convex_changes(events: DataFrame) -> DataFrame:
