@@ -119,6 +119,13 @@ def test_numbers_are_dense_and_in_order(spark):
     assert got == [(k, k + 11) for k in range(1000)]
 
 
+def test_entries_of_one_place_are_in_the_order_of_lookups(spark):
+    states = [("r1", "1", [("b", ["x"])]), ("r2", "1", [("a", ["x"])]), ("r1", "2", []), ("r2", "2", [("c", ["y"])])]
+    df = spark.createDataFrame(states, "source_key string, seq string, lookups array<struct<lookup:string,outputs:array<string>>>")
+    got = sorted((r.id, r.lookup, r.source_key) for r in oplog.changes_to_lookups(df).collect())
+    assert got == [(1, "a", "r2"), (2, "b", "r1"), (3, "a", "r2"), (4, "b", "r1"), (5, "c", "r2")]
+
+
 def test_lines(spark):
     df = spark.createDataFrame([("b", k, "PUT", "t", str(k), f"k{k}", "{}", 5, None) for k in range(1, 8)], LOG_SCHEMA)
     batch = checkpoint.data_batch(df, spark.createDataFrame([("b", 0, 1)], "bucket string, after long, priority int"), 7, limit=5, chunk_ops=2)

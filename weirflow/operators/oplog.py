@@ -121,14 +121,15 @@ def changes_to_lookups(states: DataFrame, first_id: int = 0) -> DataFrame:
     """Entries of lookups from a history of row states: lookup, source_key, id, outputs.
 
     ``states``: source_key, seq, lookups (array of (lookup, outputs)). Each lookup that a row gives to gets an entry with its
-    outputs; one that it no longer gives to gets an entry without any, which takes the earlier ones back.
+    outputs; one that it no longer gives to gets an entry without any, which takes the earlier ones back. Ids follow (seq,
+    lookup, source_key).
     """
     before = F.coalesce(F.lag("lookups").over(Window.partitionBy("source_key").orderBy("seq")), F.expr("cast(array() as array<struct<lookup:string,outputs:array<string>>>)"))
     rows = states.withColumn("before", before)
     gone = F.array_except(F.transform("before", lambda x: x["lookup"]), F.transform("lookups", lambda x: x["lookup"]))
     empty = F.transform(gone, lambda x: F.struct(x.alias("lookup"), F.expr("cast(array() as array<string>)").alias("outputs")))
     made = rows.select("source_key", "seq", F.explode(F.concat("lookups", empty)).alias("e")).select("source_key", "seq", "e.lookup", "e.outputs")
-    return numbered(made, ["seq", "source_key", "lookup"], first_id, "id").select("lookup", "source_key", "id", "outputs")
+    return numbered(made, ["seq", "lookup", "source_key"], first_id, "id").select("lookup", "source_key", "id", "outputs")
 
 
 def flush_groups(changes: DataFrame, order: list[str], size: Column, max_rows: int = 2000, max_bytes: int = 5_000_000) -> DataFrame:
