@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from weirflow.operators.evaluate import lookup_sources, source_rows
 from weirflow.plans.model import Plan
+from weirflow.sources.shared import written
 from weirflow.sources.tables import matches
 
 NONE_UNCHANGED = "cast(array() as array<string>)"
@@ -144,14 +145,35 @@ def keyed(changes: DataFrame) -> DataFrame:
     first = moved.select("table", F.concat("seq", F.lit("/0")).alias("seq"), F.lit("delete").alias("kind"), F.col("old_key").alias("key"), F.lit(None).cast(changes.schema["row"].dataType).alias("row"), F.expr(NONE_UNCHANGED).alias("unchanged"))
     own = plain.select("table", F.concat("seq", F.lit("/1")).alias("seq"), "kind", "key", "row", "unchanged")
     every = first.unionByName(own)
-    # truncates are few: each change meets its table's, and the first one after it empties its key, if nothing touched the key before
-    cuts = changes.filter("kind = 'truncate'").groupBy("table").agg(F.sort_array(F.collect_set(F.concat("seq", F.lit("/0")))).alias("cuts"))
-    met = every.withColumn("next", F.lead("seq").over(Window.partitionBy("table", "key").orderBy("seq"))).join(cuts, "table")
-    cut = F.try_element_at(F.filter("cuts", lambda c: c > F.col("seq")), F.lit(1))
-    emptied = met.withColumn("cut", cut).filter("cut is not null and (next is null or cut < next) and kind != 'delete'")
+    cuts = changes.filter("kind = 'truncate'").select("table", F.concat("seq", F.lit("/0")).alias("seq"))
+    if cuts.isEmpty():
+        return every
+    # the first truncate after a change empties its key, if nothing touched the key before
+    met = _with_next_cut(every.select("table", "key", "seq", "kind", F.lead("seq").over(Window.partitionBy("table", "key").orderBy("seq")).alias("next")).filter("kind != 'delete'"), cuts.distinct())
+    emptied = written(met.filter("cut is not null and (next is null or cut < next)").select("table", "key", "cut"), "emptied")
     return every.unionByName(emptied.select("table", F.col("cut").alias("seq"), F.lit("delete").alias("kind"), "key", F.lit(None).cast(changes.schema["row"].dataType).alias("row"), F.expr(NONE_UNCHANGED).alias("unchanged")))
 
 
+def _with_next_cut(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Rows (table, key, seq, next) with ``cut``: the first of their table's cuts (table, seq) that is after them, or null.
+
+    Rows and cuts are dealt by ranges of their order, and a window finds the first cut in each range. What is after a range
+    is its table's first cut in a later one; of these there is one per table and range.
+    """
+    both = rows.select("table", "seq", "key", "next", F.lit(False).alias("is_cut")).unionByName(cuts.select("table", "seq", F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("next"), F.lit(True).alias("is_cut")))
+    # a second use must see the same ranges, which are cut by sampling
+    dealt = written(both.repartitionByRange("table", "seq").withColumn("range", F.spark_partition_id()), "cuts")
+    at = F.when(F.col("is_cut"), F.col("seq"))
+    # backwards, as a frame to the end of a range is summed up anew for each row; no row is at a cut's place: cuts end in /0, rows in /1
+    before = (Window.unboundedPreceding, -1)
+    after = F.last(at, ignorenulls=True).over(Window.partitionBy("range", "table").orderBy(F.desc("seq")).rowsBetween(*before))
+    firsts = dealt.filter("is_cut").groupBy("table", "range").agg(F.min("seq").alias("first"))
+    tables = dealt.select("table", "range").distinct().join(firsts, ["table", "range"], "left")
+    later = tables.withColumn("later", F.last("first", ignorenulls=True).over(Window.partitionBy("table").orderBy(F.desc("range")).rowsBetween(*before))).drop("first")
+    found = dealt.withColumn("after", after).filter("not is_cut").join(F.broadcast(later), ["table", "range"])
+    return found.select("table", "key", "seq", "next", F.coalesce("after", "later").alias("cut"))
+
+
 def _carried(changes: DataFrame, table: str) -> DataFrame:
     """The rows that changes of a table leave, with $seq and $key beside their columns; no * takes those."""
     here = changes.filter((F.col("table") == table) & F.col("row").isNotNull())
