@@ -97,6 +97,13 @@ def test_compaction_and_reduction(spark):
     assert rows(checkpoint.checksums(twice).select("bucket", "checksum")) == sums
 
 
+def test_compaction_makes_its_window_once(spark):
+    """Newest ops are found once, not for each of the four readings of the log."""
+    df = spark.createDataFrame(random_log(random.Random(5)), LOG_SCHEMA)
+    assert "Window" in oplog.compact_moves(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in oplog.compact(df)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_reducing_in_parts(spark):
     """r(B) = r(r(first part) and the rest), at several places."""
     log = random_log(random.Random(3), buckets=5)

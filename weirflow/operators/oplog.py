@@ -109,12 +109,13 @@ def changes_to_ops(states: DataFrame, first_op: int = 0) -> DataFrame:
     gone = F.array_except(F.transform("before", lambda b: b["bucket"]), now)
     removes = F.transform(gone, lambda b: F.struct(F.lit(1).alias("kind"), b.alias("bucket"), F.lit(None).cast("string").alias("data")))
     rows = states.withColumn("before", before).select("object_type", "object_id", "subkey", "seq", F.explode(F.concat(puts, removes)).alias("o")).select("object_type", "object_id", "subkey", "seq", "o.*")
+    # numbering passes over its rows twice: what can be made from them is made afterwards
+    out = numbered(rows, ["seq", "kind", "bucket", "subkey"], first_op)
     put = F.col("kind") == 0
-    out = rows.select(
-        "bucket", "seq", "kind", F.when(put, "PUT").otherwise("REMOVE").alias("op"), "object_type", "object_id", "subkey", "data",
-        F.when(put, put_hash(F.col("object_type"), F.col("object_id"), F.col("data"))).otherwise(remove_hash(F.col("subkey"))).alias("checksum"), F.lit(None).cast("bigint").alias("target_op"),
+    return out.select(
+        "bucket", F.when(put, "PUT").otherwise("REMOVE").alias("op"), "object_type", "object_id", "subkey", "data",
+        F.when(put, put_hash(F.col("object_type"), F.col("object_id"), F.col("data"))).otherwise(remove_hash(F.col("subkey"))).alias("checksum"), F.lit(None).cast("bigint").alias("target_op"), "op_id",
     )
-    return numbered(out, ["seq", "kind", "bucket", "subkey"], first_op).drop("seq", "kind")
 
 
 def changes_to_lookups(states: DataFrame, first_id: int = 0) -> DataFrame:
@@ -180,7 +181,13 @@ def compact_moves(log: DataFrame, max_op: int | None = None) -> DataFrame:
 
 
 def compact_clear(moved: DataFrame, max_op: int | None = None) -> DataFrame:
-    """What stands before a bucket's first live PUT becomes one CLEAR, if it is more than one op other than CLEAR."""
+    """What stands before a bucket's first live PUT becomes one CLEAR, if it is more than one op other than CLEAR.
+
+    The log is read four times, so that it is written first: three times few of its columns, into aggregates by bucket.
+    """
+    from weirflow.sources.shared import written
+
+    moved = written(moved, "moved")
     seen = F.lit(True) if max_op is None else F.col("op_id") <= max_op
     facts = moved.filter(seen).groupBy("bucket").agg(F.min(F.when(F.col("op") == "PUT", F.col("op_id"))).alias("__first"))
     inside = (F.col("__first").isNull() | (F.col("op_id") < F.col("__first"))) & seen
